@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideflow.llm import bpe_automaton, language_id, packing, quality_classifier, quality_rules, substring_dedup, token_counts
+from tideflow.llm import bpe_automaton, language_id, ngram_jaccard, packing, quality_classifier, quality_rules, substring_dedup, token_counts
 
 
 def tokenizer_path(name: str) -> str:
@@ -49,6 +49,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.scan_separators(blocks, end)
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.jaccard_components(_table(spark, sf_dir, "documents", "doc_id", "text"), n=3, percent=90)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents", "doc_id", "text"), texts=False).drop("text")
 
@@ -60,7 +64,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_bpe_automaton, op5_quality_classifier, op6_packing, op7_token_counts, op9_substring_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_language_id, op4_bpe_automaton, op5_quality_classifier, op6_packing, op7_token_counts, op8_ngram_jaccard, op9_substring_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
