@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideflow.llm import bpe_automaton, deleted_interpolation, language_id, ngram_jaccard, packing, quality_classifier, quality_rules, substring_dedup, token_counts
+from tideflow.llm import bpe_automaton, deleted_interpolation, language_id, ngram_jaccard, nn_descent, packing, quality_classifier, quality_rules, substring_dedup, token_counts
 
 
 def tokenizer_path(name: str) -> str:
@@ -26,6 +26,10 @@ def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deleted_interpolation.score_documents(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = language_id.fit_language_model(docs.where(~language_id.held_out()))
@@ -68,7 +72,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_deleted_interpolation, op3_language_id, op4_bpe_automaton, op5_quality_classifier, op6_packing, op7_token_counts, op8_ngram_jaccard, op9_substring_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_deleted_interpolation, op2_nn_descent, op3_language_id, op4_bpe_automaton, op5_quality_classifier, op6_packing, op7_token_counts, op8_ngram_jaccard, op9_substring_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
