@@ -41,6 +41,29 @@ def _byte_chars() -> dict[int, int]:
 _BYTE_CHARS = _byte_chars()
 
 
+class Row(Memo):
+    """A state's row of the transition table: token -> whether it has the arc. Filled as it is asked."""
+
+    def __init__(self, arc) -> None:
+        super().__init__(arc, 8192)
+
+
+class Node(dict):
+    """A state of the matcher: symbol -> the next one. Steps that go by way of `fail` are added when first taken."""
+
+    __slots__ = ("above", "depth", "end", "fail", "symbol")
+
+    def __init__(self, above: Node | None, symbol: str) -> None:
+        super().__init__()
+        self.above, self.symbol, self.end, self.fail = above, symbol, (), None
+        self.depth = above.depth + 1 if above is not None else 0
+
+    def __missing__(self, symbol: str) -> Node:
+        to = self.fail[symbol] if self.fail is not None else self
+        self[symbol] = to
+        return to
+
+
 class TokenAutomaton:
     """Compiled from token ids and ordered merges (pairs of token strings). State 0 is the start; state t + 1 is entered by token t.
 
@@ -58,7 +81,8 @@ class TokenAutomaton:
         for k, (u, v) in enumerate(merges):
             self._gadget(k, vocab[u], vocab[v], vocab[u + v])
         self._compile_matcher()
-        self.arcs: Memo = Memo(self._arc, 500_000)
+        self.start = Row(lambda token: True)
+        self.rows: dict[int, Row] = Memo(lambda token: Row(lambda t: self._arc(token + 1, t)), size)
 
     def _symbols(self, token: str) -> list[str]:
         """Base symbols of a token: characters, the last one of a word with the suffix."""
@@ -68,46 +92,33 @@ class TokenAutomaton:
         return list(token)
 
     def _compile_matcher(self) -> None:
-        """Transitions over base symbols: a node for each prefix of a token; fail leads to the longest shorter suffix that is a prefix too; ending has the tokens that end at a node, the longest first, as length << 32 | token."""
+        """Transitions over base symbols: a node for each prefix of a token, which knows the tokens that end there, the longest first."""
         self.length = [0] * len(self.left)
-        self.symbol: dict[str, int] = {}
-        self.go: dict[int, int] = {}  # node << 20 | symbol -> node
-        whole, above, nodes = {}, [(0, 0)], 1
+        self.root = Node(None, "")
+        made = [self.root]
         for token, i in self.vocab.items():
             symbols = self._symbols(token)
             if len(symbols) == 1 or self.left[i] >= 0:
-                self.length[i], node = len(symbols), 0
+                self.length[i], node = len(symbols), self.root
                 for c in symbols:
-                    key = node << 20 | self.symbol.setdefault(c, len(self.symbol))
-                    if key not in self.go:
-                        self.go[key] = nodes
-                        above.append((node, key & 0xFFFFF))
-                        nodes += 1
-                    node = self.go[key]
-                whole[node] = self.length[i] << 32 | i
-        depth = [0] * nodes
-        for x in range(1, nodes):
-            depth[x] = depth[above[x][0]] + 1
-        self.fail, self.ending = [0] * nodes, [()] * nodes
-        trie = dict(self.go)
-        for x in sorted(range(1, nodes), key=depth.__getitem__):
-            up, c = above[x]
-            if up:
-                q = self.fail[up]
-                while q and (q << 20 | c) not in trie:
-                    q = self.fail[q]
-                self.fail[x] = trie.get(q << 20 | c, 0)
-            self.ending[x] = ((whole[x],) if x in whole else ()) + self.ending[self.fail[x]]
-        self.steps = Memo(self._step, 1_000_000)
-
-    def _step(self, key: int) -> int:
-        """The matcher's transition, also where it goes by way of fail."""
-        node, c = key >> 20, key & 0xFFFFF
-        while (to := self.go.get(node << 20 | c)) is None:
-            if not node:
-                return 0
-            node = self.fail[node]
-        return to
+                    if c not in node:
+                        made.append(Node(node, c))
+                        dict.__setitem__(node, c, made[-1])
+                    node = dict.__getitem__(node, c)
+                node.end = ((len(symbols), i),)
+        self.known = set(self.root)
+        own = [dict(n) for n in made]  # fail links follow the tokens' own prefixes, not transitions added later
+        by_depth = sorted(zip(made, own), key=lambda x: x[0].depth)
+        prefix = {id(n): d for n, d in by_depth}
+        for node, _ in by_depth[1:]:
+            if node.depth > 1:
+                q = node.above.fail
+                while q is not self.root and node.symbol not in prefix[id(q)]:
+                    q = q.fail
+                node.fail = prefix[id(q)].get(node.symbol, self.root)
+            else:
+                node.fail = self.root
+            node.end = node.end + node.fail.end
 
     def _gadget(self, k: int, u: int, v: int, uv: int) -> None:
         """Copy the state entered by u without the arc v, and add the arc uv."""
@@ -125,11 +136,8 @@ class TokenAutomaton:
             state = self.right[state - 1] + 1
         return first
 
-    def _arc(self, key: int) -> bool:
+    def _arc(self, state: int, token: int) -> bool:
         """Whether the state has the arc. The arc of a merged token was added beside its left part's, if that was there then."""
-        state, token = key >> self.shift, key & ((1 << self.shift) - 1)
-        if not state:
-            return True
         if self._lost_at(state, token) != float("inf"):
             return False
         while (part := self.left[token]) >= 0:
@@ -138,28 +146,23 @@ class TokenAutomaton:
             token = part
         return True
 
-    def walk(self, symbols: list[int]) -> list[int] | None:
-        """Labels of the arcs that read the symbols (by number); None if there is no such path."""
-        shift, arcs, steps, ending = self.shift, self.arcs, self.steps, self.ending
-        node, state, j = 0, [0], 0
+    def walk(self, symbols: list[str]) -> list[int]:
+        """Labels of the arcs that read the symbols, all of them base symbols. As each is a token, every prefix has its tokenization."""
+        node, states, came, rows = self.root, [self.start], [], self.rows
         for c in symbols:
-            node = steps[node << 20 | c]
-            j += 1
-            for x in ending[node]:
-                q = state[j - (x >> 32)]
-                if q >= 0 and arcs[q << shift | x & 0xFFFFFFFF]:
-                    state.append((x & 0xFFFFFFFF) + 1)
+            node = node[c]
+            for length, token in node.end:
+                if states[-length][token]:
+                    states.append(rows[token])
+                    came.append(token)
                     break
-            else:
-                state.append(-1)
-        if state[j] < 0:
-            return None
-        out, length = [], self.length
+        out, j, length = [], len(came), self.length
         while j:
-            token = state[j] - 1
+            token = came[j - 1]
             out.append(token)
             j -= length[token]
-        return out[::-1]
+        out.reverse()
+        return out
 
 
 class AutomatonTokenizer:
@@ -189,15 +192,19 @@ class AutomatonTokenizer:
         self.automaton = TokenAutomaton(model["vocab"], merges, self.suffix)
         self.ids = model["vocab"]
         self.labels = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
-        self.pieces = Memo(self._piece, 300_000)
+        self.words, self.pieces = Memo(self._word, 400_000), Memo(self._piece, 600_000)
         gc.freeze()  # the tables are never garbage
 
     def word(self, word: str) -> list[int]:
-        symbol = self.automaton.symbol  # symbols outside the vocabulary are dropped, as there is no unknown token
-        path = [symbol[c] for c in word[:-1] if c in symbol]
-        if (last := word[-1] + self.suffix) in symbol:
-            path.append(symbol[last])
-        return self.automaton.walk(path) or []
+        symbols = [*word[:-1], word[-1] + self.suffix]
+        known = self.automaton.known
+        if not known.issuperset(symbols):  # symbols outside the vocabulary are dropped, as there is no unknown token
+            symbols = [c for c in symbols if c in known]
+        return self.automaton.walk(symbols)
+
+    def _word(self, word: str) -> tuple[int, str, str]:
+        ids = self.word(word)
+        return len(ids), " ".join(map(str, ids)), self.decode(ids)
 
     def _words(self, piece: str) -> list[str]:
         """Normalised and split. Printable Latin text takes a short way when the file's normalizer and pattern are those it was written for; the rest goes through the library."""
@@ -206,8 +213,9 @@ class AutomatonTokenizer:
         return [w for w, _ in self.split(self.normalize(piece))]
 
     def _piece(self, piece: str) -> tuple[int, str, str]:
-        ids = [i for w in self._words(piece) for i in self.word(w)]
-        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+        words = self.words
+        got = [g for w in self._words(piece) if (g := words[w])[0]]
+        return got[0] if len(got) == 1 else _joined(got)
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.labels[i] for i in ids)
@@ -221,12 +229,16 @@ class AutomatonTokenizer:
                 parts += [(1, str(self.special[part]), part)] if part in self.special else [p for p in (self._plain(part),) if p[0]]
         else:
             return self._plain(text)
-        return sum(p[0] for p in parts), " ".join(p[1] for p in parts), " ".join(p[2] for p in parts)
+        return _joined(parts)
 
     def _plain(self, text: str) -> tuple[int, str, str]:
         pieces = self.pieces
         got = [g for p in text.replace("\n", " ").split(" ") if p and (g := pieces[p])[0]]
-        return sum([g[0] for g in got]), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])
+        return _joined(got)
+
+
+def _joined(parts: list[tuple[int, str, str]]) -> tuple[int, str, str]:
+    return sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
 
 
 _LOADED: dict[str, AutomatonTokenizer] = {}
