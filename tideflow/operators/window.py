@@ -37,7 +37,7 @@ def _folded_batch(flow, count, measure, limit, every, time, drop_partial, name):
     if measure is not None and limit is None:
         raise ValueError("measure needs a limit")
     df = flow.df.withColumn("_m", measure.cast("double") if measure is not None else F.lit(0.0))
-    names = flow.df.columns
+    names, measured = flow.df.columns, measure is not None
 
     def step(state, row):
         now = getattr(row, time) if every is not None else None
@@ -51,7 +51,7 @@ def _folded_batch(flow, count, measure, limit, every, time, drop_partial, name):
         yield (*[getattr(row, c) for c in names], state["batch"])
         state["n"] += 1
         state["sum"] += row.m_
-        if (count is not None and state["n"] >= count) or (limit is not None and measure is not None and state["sum"] >= limit):
+        if (count is not None and state["n"] >= count) or (measured and state["sum"] >= limit):
             state.update(batch=state["batch"] + 1, n=0, sum=0.0)
 
     folded = ordered_fold(flow.with_df(df.withColumnRenamed("_m", "m_")), lambda: {"batch": 0, "n": 0, "sum": 0.0, "tick": None}, step, f"{_ddl(flow.df)}, {name} bigint")
