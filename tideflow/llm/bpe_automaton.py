@@ -76,6 +76,7 @@ class TokenAutomaton:
         self.vocab, self.suffix = vocab, suffix
         size = max(vocab.values(), default=0) + 1
         self.lost: dict[int, int] = {}
+        self.never: set[int] = set()
         self.shift = size.bit_length() + 1
         self.left, self.right, self.born = [-1] * size, [-1] * size, [0] * size
         for k, (u, v) in enumerate(merges):
@@ -121,7 +122,10 @@ class TokenAutomaton:
             node.end = node.end + node.fail.end
 
     def _gadget(self, k: int, u: int, v: int, uv: int) -> None:
-        """Copy the state entered by u without the arc v, and add the arc uv."""
+        """Copy the state entered by u without the arc v, and add the arc uv. Where that arc was gone already the merge can never happen, and there is no arc uv."""
+        if u in self.never or v in self.never or not self._arc(u + 1, v):
+            self.never.add(uv)
+            return
         self.lost[(u + 1) << self.shift | v] = k
         self.left[uv], self.right[uv], self.born[uv] = u, v, k
 
