@@ -63,7 +63,9 @@ def distinct_within(stream: DataFrame, time: str, lateness: str, *keys: str) ->
 
 def sessions(stream: DataFrame, time: str, gap: str, lateness: str, *keys: str) -> DataFrame:
     w = F.session_window(time, gap)
-    return stream.withWatermark(time, lateness).groupBy(*keys, w.alias("session")).agg(F.count("*").alias("n")).select(*keys, F.col("session.start").alias("start"), F.col("session.end").alias("end"), "n")
+    if not keys:  # append mode wants a key beside the window
+        stream = stream.withColumn("_all", F.lit(0))
+    return stream.withWatermark(time, lateness).groupBy(*(keys or ["_all"]), w.alias("session")).agg(F.count("*").alias("n")).select(*keys, F.col("session.start").alias("start"), F.col("session.end").alias("end"), "n")
 
 
 def tumbling_counts(stream: DataFrame, time: str, every: str, lateness: str, *keys: str) -> DataFrame:
