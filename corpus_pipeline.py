@@ -41,7 +41,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated passages; a document of which nothing is left goes. n_chars follows the text."""
-    cut = materialise(substring_dedup.remove_repeats(docs).where("n_removed < n_words or n_words = 0").select("doc_id", F.col("text").alias("cut"), "n_removed"))
+    cut = substring_dedup.remove_repeats(docs).where("n_removed < n_words or n_words = 0").select("doc_id", F.col("text").alias("cut"), "n_removed")
     rest = docs.drop("text").join(cut, "doc_id").withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("cut").cast("long")).otherwise(F.col("n_chars")))
     return rest.withColumnRenamed("cut", "text").select(*docs.columns)
 
