@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideflow.llm import bpe_automaton, deleted_interpolation, language_id, ngram_jaccard, nn_descent, packing, quality_classifier, quality_rules, substring_dedup, token_counts
+from tideflow.llm import bpe_automaton, deleted_interpolation, language_id, ngram_jaccard, nn_descent, oracles, packing, quality_classifier, quality_rules, substring_dedup, token_counts
 
 
 def tokenizer_path(name: str) -> str:
@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_ngram_jaccard": oracles.NGRAM_JACCARD, "op9_substring_dedup": oracles.SUBSTRING_DEDUP}
