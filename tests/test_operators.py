@@ -253,6 +253,6 @@ def test_laws(spark, values, n):
         total += v
         sums.append(total)
     assert out(op.scan(f, "s", "sum", F.col("value")), "s") == sums
-    assert [r.value for r in ordered_fold(f, lambda: None, lambda s, r: iter([(r.value,)]), "value long").collect()] == values
+    assert [r.value for r in ordered_fold(f, lambda: 0, lambda s, r: iter([(r.value,)]), "value long").collect()] == values
     assert [x for w in windows(op.chunk_by(f, "value"), "chunk") for x in w] == values
     assert out(op.with_index(f), "idx") == list(range(len(values)))

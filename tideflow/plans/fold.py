@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING, Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 if TYPE_CHECKING:
     from tideflow.flow import OrderedFlow
@@ -17,21 +18,27 @@ if TYPE_CHECKING:
 def ordered_fold(flow: OrderedFlow, start: Callable[[], Any], step: Callable[[Any, Any], Iterator[tuple]], schema: str, columns: list[str] | None = None) -> DataFrame:
     """Per partition key, in order: step(state, row) yields output tuples; `start` makes the (mutable) state.
 
-    A sequential fold is one task for each key by nature; give partition keys wherever the semantics allow. Rows reach
-    Python in Arrow batches, and only the named columns do.
+    Rows are dealt by key, sorted by the engine, and streamed through Python in Arrow batches: many small keys cost no
+    more than their rows, and a large key is never held in memory. A key is one task by nature; without keys the whole
+    flow is. Only the named columns reach Python.
     """
     need = list(dict.fromkeys([*flow.partition_by, *flow.order_by, *(columns or flow.df.columns)]))
+    keys, fields = list(flow.partition_by), T.StructType.fromDDL(schema)
+    out = to_arrow_schema(fields)
     df = flow.df.select(*need)
-    group = list(flow.partition_by)
-    if not group:
-        df, group = df.withColumn("_all", F.lit(0)), ["_all"]
-    out = T.StructType.fromDDL(schema)
-    order = list(flow.order_by)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, rows = start(), []
-        for row in pdf.sort_values(order, kind="stable").itertuples(index=False):
-            rows.extend(step(state, row))
-        return pd.DataFrame(rows, columns=out.names)
-
-    return df.groupBy(*group).applyInPandas(run, out)
+    dealt = (df.repartition(*keys) if keys else df.repartition(1)).sortWithinPartitions(*keys, *flow.order_by)
+    places = [need.index(k) for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = namedtuple("Row", need, rename=True)
+        state, current, begun = None, (), False
+        for batch in batches:
+            rows = []
+            for values in zip(*(c.to_pylist() for c in batch.columns)):
+                key = tuple(values[p] for p in places)
+                if not begun or key != current:
+                    state, current, begun = start(), key, True
+                rows.extend(step(state, shape(*values)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out)], schema=out)
+
+    return dealt.mapInArrow(run, fields)
