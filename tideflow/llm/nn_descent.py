@@ -125,8 +125,9 @@ def neighbour_graph(vectors: DataFrame, count: int, k: int = NEIGHBOURS, rounds:
     for _ in range(rounds if blocks > 1 else 0):
         back = graph.select(F.col("v").alias("centre"), F.col("u").alias("member"), "fresh")
         turn = Window.partitionBy("centre").orderBy(F.col("fresh").desc(), F.xxhash64("centre", "member"))
-        back = back.withColumn("n", F.row_number().over(turn)).where(F.col("n") <= k).drop("n")  # a sample of the reverse neighbours, as NN-descent takes it; forward lists are whole
+        back = back.withColumn("n", F.row_number().over(turn)).where(F.col("n") <= max(1, k // 2)).drop("n")  # a sample of the reverse neighbours, as NN-descent takes it; forward lists are whole
         lists = graph.select(F.col("u").alias("centre"), F.col("v").alias("member"), "fresh").unionByName(back).groupBy("centre", "member").agg(F.max("fresh").alias("fresh"))
+        lists = lists.join(lists.where("fresh").select("centre").distinct(), "centre", "left_semi")  # where nothing is new there is nothing to compare
         reach = graph.groupBy("u").agg(F.when(F.count("*") < k, F.lit(float("inf"))).otherwise(F.max("d")).cast("float").alias("reach"))
         known = vectors.join(reach, vectors.id == reach.u).select(F.col("id").alias("member"), "half", "reach")
         joined = lists.join(known, "member").select(_part("centre", parts), "centre", "member", "fresh", "half", "reach")
