@@ -256,3 +256,18 @@ def test_laws(spark, values, n):
     assert [r.value for r in ordered_fold(f, lambda: 0, lambda s, r: iter([(r.value,)]), "value long").collect()] == values
     assert [x for w in windows(op.chunk_by(f, "value"), "chunk") for x in w] == values
     assert out(op.with_index(f), "idx") == list(range(len(values)))
+
+
+def test_metrics(spark):
+    from tideflow.functions.metrics import percentiles, measured
+
+    df, result = measured(ints(spark, range(10)).df, "stage", F.col("value") > 7)
+    df.collect()
+    got = result(2.0)
+    assert (got.processed, got.errors, got.throughput, got.error_rate) == (8, 2, 4.0, 0.2)
+    df, result = measured(ints(spark, range(3)).df, "plain")
+    df.collect()
+    assert result().processed == 3
+    assert percentiles(ints(spark, range(101)).df, "value", 0.5).first()["p50"] == 50
+    cached = op.map_cached(ints(spark, [1, 1, 2]), ["value"], lambda keys: keys.withColumn("sq", F.col("value") * F.col("value")))
+    assert sorted(out(cached, "sq")) == [1, 1, 4]
