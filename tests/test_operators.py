@@ -271,3 +271,32 @@ def test_metrics(spark):
     assert percentiles(ints(spark, range(101)).df, "value", 0.5).first()["p50"] == 50
     cached = op.map_cached(ints(spark, [1, 1, 2]), ["value"], lambda keys: keys.withColumn("sq", F.col("value") * F.col("value")))
     assert sorted(out(cached, "sq")) == [1, 1, 4]
+
+
+def test_many_ranges(spark):
+    """The prefix scans over more than one range: small data would otherwise be laid out as one."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        values = [(i * 37) % 11 - 5 for i in range(40)]
+        f = OrderedFlow(ints(spark, values).df.repartition(5), ("pos",))
+        from tideflow.plans.ordered import PID, placed
+
+        assert placed(f).select(PID).distinct().count() > 1
+        assert out(op.with_index(f), "idx") == list(range(40))
+        assert out(op.scan(f, "s", "sum", F.col("value")), "s") == [sum(values[: i + 1]) for i in range(40)]
+        assert out(op.scan(f, "s", "min", F.col("value")), "s") == [min(values[: i + 1]) for i in range(40)]
+        assert out(op.scan(f, "s", "count", F.lit(1)), "s") == list(range(1, 41))
+        some = F.when(F.col("pos") % 13 == 3, F.col("pos"))
+        assert out(op.scan(f, "s", "last", some), "s") == [None] * 3 + [3] * 13 + [16] * 13 + [29] * 11
+        assert out(op.pairwise(f, "value"), "prev_value") == values[:-1]
+        assert out(op.debounce(f, "pos", 1), "pos") == list(range(40)) and out(op.debounce(f, "pos", 2), "pos") == [39]
+        chunks, last = [], object()
+        for v in values:
+            chunks.append((chunks[-1] if chunks else -1) + (v != last))
+            last = v
+        assert out(op.chunk_by(f, "value"), "chunk") == chunks
+        assert windows(op.sliding_window(f, 7, 3), "window") == [values[k : k + 7] for k in range(0, 34, 3)]
+        assert out(op.take_while(f, F.col("pos") < 25), "pos") == list(range(25))
+        assert op.reduce_while(f, "n", "count", F.lit(1), lambda c: c < 17, 0).first()["n"] == 17
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
