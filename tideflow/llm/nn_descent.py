@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from tideflow.llm.common import arrow_schema, materialise, session_of, struct
 
 #: Neighbours kept; most rounds; share of changed entries at which rounds end; beam and members expanded in a hop.
-NEIGHBOURS, ROUNDS, SETTLED, BEAM, WIDTH, BLOCK = 20, 6, 0.02, 240, 60, 512
+NEIGHBOURS, ROUNDS, SETTLED, BEAM, WIDTH, BLOCK = 20, 8, 0.01, 600, 150, 512
 
 
 def _grouped(df: DataFrame, keys: list[str], fn, schema: T.StructType) -> DataFrame:
