@@ -119,6 +119,28 @@ def test_nearest(spark):
     assert nn_descent.nearest(few.where("false"), F.lit(True)).count() == 0
 
 
+def test_nearest_with_a_beam_of_few_rows(spark):
+    n, x = 6000, np.random.default_rng(5).normal(size=(6000, 24)).astype(np.float32)
+    rows = nn_descent.materialise(spark.createDataFrame([(i, v.tobytes(), v.astype("<f2").tobytes()) for i, v in enumerate(x)], "id long, full binary, half binary"))
+    asked = range(0, n, 60)
+    graph = nn_descent.materialise(nn_descent.neighbour_graph(rows.select("id", "half"), n))
+    beams = nn_descent.greedy_search(rows.select("id", "full"), graph, spark.createDataFrame([(q,) for q in asked], "q long"), n, beam=180, width=45)
+    lists, found = {}, {}
+    for r in graph.collect():
+        lists.setdefault(r.u, set()).add(r.v)
+    for r in beams.where("node <> q").collect():
+        found.setdefault(r.q, []).append((r.d, r.node))
+    in_lists = in_beams = 0
+    for q in asked:
+        d = ((x.astype(float) - x[q].astype(float)) ** 2).sum(1)
+        d[q] = np.inf
+        want = np.argsort(d, kind="stable")
+        in_lists += len(lists[q] & set(want[: nn_descent.NEIGHBOURS].tolist()))
+        in_beams += len({v for _, v in sorted(found[q])[:10]} & set(want[:10].tolist()))
+    assert in_lists >= 0.94 * nn_descent.NEIGHBOURS * len(asked)  # 0.918 with reverse lists of half the length
+    assert in_beams >= 0.95 * 10 * len(asked)
+
+
 def test_language(spark, docs, none):
     train = spark.createDataFrame([(1, "the river and the stone", "en"), (2, "the quick brown fox and the dog", "en"), (3, "der Apfel und die Birne", "de"), (4, "und der schnelle Fuchs", "de")], "doc_id long, text string, lang string")
     model = language_id.fit_language_model(train)
