@@ -203,6 +203,20 @@ def test_quality_classifier(spark, docs, none):
     assert quality_classifier.OrdinalModel().fit([]).tails(0.0)
 
 
+def test_toxic_words_are_not_outweighed():
+    rng = random.Random(4)
+    draw = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    plain, kind, rude = ["stone", "river", "tree", "cloud", "field"], ["lovely", "gentle", "thanks", "please"], ["scoundrels", "scoundrelly", "scoundreled"]
+    rows = [(f"{draw(plain, 20)} {draw(kind, 3)}", 2) for _ in range(300)] + [(draw(plain, 20), 2) for _ in range(100)]
+    rows += [(f"{draw(plain, 20)} {rng.choice(rude)}", 1) for _ in range(20)] + [(f"{draw(plain, 20)} ### ###", 0) for _ in range(40)]
+    model, make = quality_classifier.OrdinalModel().fit(rows), quality_classifier.Featurizer()
+    tail = lambda t: model.tails(float(model.weights[list(make(t))].sum()))[-1]
+    assert model.weights.max() <= 0
+    assert tail("stone river lovely gentle") >= 0.7
+    assert tail("stone river lovely gentle thanks please scoundrels") < 0.7  # kind words don't outweigh it
+    assert tail("stone river scoundrelism") < 0.7  # a form that was not seen
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 

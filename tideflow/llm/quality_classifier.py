@@ -1,12 +1,13 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-A text has one latent score, a sum of shared weights over its hashed features (its distinct words, the shapes of its
-tokens and how common each shape is). Ordered thresholds t_0 < t_1 < ... cut that score into grades:
+A text has one latent score, a sum of shared weights over its hashed features (its distinct words, their first letters,
+the shapes of its tokens and how common each shape is). No weight is above zero: a feature can only speak against a
+text, so that what gives a toxic text away is not outweighed by its other words. Rare grades count for more in the fit. Ordered thresholds t_0 < t_1 < ... cut that score into grades:
 P(grade > k) = sigmoid(score - t_k). The result is the expected grade and the tail probability of the upper grades,
 by which documents are selected.
 
 Grades are given by `labels`: quality and toxic, each 0 or 1, make grade 0 (low quality), 1 (good but toxic)
-or 2 (good and clean). Selection keeps P(grade >= 2) >= 0.7: on held-out labels that keeps over 99 % of good, clean texts.
+or 2 (good and clean). Selection keeps P(grade >= 2) >= 0.7; README has the held-out figures.
 
 Defined results: null text is the empty text, scored by its features like any other. With no labelled document, or
 only one grade among them, the weights are zero and the thresholds follow the grades' shares. Repeated rows and null
@@ -29,6 +30,8 @@ BITS = 20
 #: The most labelled documents the model is fitted on.
 TRAIN_ROWS = 8000
 GRADES = 3
+#: Words of so many letters or more also count by their first ones, for inflected forms too rare to be seen in training.
+STEM = 5
 _CORE = re.compile(r"[^\W\d_]+")
 _SHARES = (0.01, 0.05, 0.2, 0.5)
 
@@ -38,8 +41,9 @@ def _hashed(kind: str, name: str) -> int:
 
 
 def _token(token: str) -> tuple[tuple[int, ...], str]:
-    """A token's hashed words, and its shape: what is left without letters and digits, and whether it is in capitals."""
-    words = tuple(_hashed("w", w) for w in _CORE.findall(token.lower()))
+    """A token's hashed words and first letters, and its shape: what is left without letters and digits, and whether it is in capitals."""
+    found = _CORE.findall(token.lower())
+    words = tuple([_hashed("w", w) for w in found] + [_hashed("p", w[:STEM]) for w in found if len(w) >= STEM])
     rest = re.sub(r"\d+", "0", _CORE.sub("", token))[:8]
     return words, rest + ("^" if len(token) > 3 and token.isupper() else "")
 
@@ -75,7 +79,7 @@ class OrdinalModel:
         self.cuts = np.arange(grades - 1) - (grades - 2) / 2
 
     def fit(self, rows: list[tuple[str | None, int]], steps: int = 1000, rate: float = 0.1, decay: float = 1e-4, min_docs: int = 5, least_chi2: float = 20.0) -> OrdinalModel:
-        """rows: (text, grade). Features that are independent of the grade (chi-squared below least_chi2, or in fewer than min_docs texts) get no weight; the others by full-batch Adam on the cumulative-link likelihood. The thresholds are a start and positive steps."""
+        """rows: (text, grade). Features that are independent of the grade (chi-squared below least_chi2, or in fewer than min_docs texts) get no weight; the others by full-batch Adam on the cumulative-link likelihood. The thresholds are a start and positive steps. A row counts by one over the root of its grade's share, and weights are held at zero or below."""
         if not rows:
             return self
         make = Featurizer()
@@ -97,6 +101,8 @@ class OrdinalModel:
         theta = np.concatenate([np.zeros(len(kept)), first[:1], np.log(steps_up)])
         if len(set(y.tolist())) > 1:
             m1, m2, sigmoid = np.zeros_like(theta), np.zeros_like(theta), lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+            weight = share[y, 0] ** -0.5
+            weight /= weight.mean()
             lower, upper = y - 1, y  # grade y lies between thresholds y-1 and y
             for step in range(1, steps + 1):
                 w = theta[: len(kept)]
@@ -106,13 +112,14 @@ class OrdinalModel:
                 p_high = np.where(upper < k, sigmoid(f - cuts[np.minimum(upper, k - 1)]), 0.0)
                 mass = np.maximum(p_low - p_high, 1e-9)
                 s_low, s_high = p_low * (1 - p_low), p_high * (1 - p_high)
-                df = (s_low - s_high) / mass / n
-                g_cut = np.bincount(np.maximum(lower, 0), weights=np.where(lower >= 0, -s_low / mass / n, 0), minlength=k) + np.bincount(np.minimum(upper, k - 1), weights=np.where(upper < k, s_high / mass / n, 0), minlength=k)
+                df = weight * (s_low - s_high) / mass / n
+                g_cut = np.bincount(np.maximum(lower, 0), weights=np.where(lower >= 0, -weight * s_low / mass / n, 0), minlength=k) + np.bincount(np.minimum(upper, k - 1), weights=np.where(upper < k, weight * s_high / mass / n, 0), minlength=k)
                 tail = np.cumsum(g_cut[::-1])[::-1]
                 grad = np.concatenate([np.bincount(col, weights=df[doc], minlength=len(kept)) - decay * w, tail[:1], tail[1:] * np.exp(theta[len(kept) + 1 :])])
                 m1 += 0.1 * (grad - m1)
                 m2 += 0.01 * (grad * grad - m2)
                 theta += rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
+                theta[: len(kept)] = np.minimum(theta[: len(kept)], 0)
         self.weights[kept] = theta[: len(kept)]
         self.cuts = theta[len(kept)] + np.concatenate([[0], np.cumsum(np.exp(theta[len(kept) + 1 :]))])
         return self
