@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import tideflow.operators as op
+from tideflow.flow import flow
 from tideflow.llm import language_id, ngram_jaccard, packing, quality_classifier, substring_dedup
 from tideflow.llm.common import materialise
 from tideflow.llm.queries import tokenizer_path
@@ -23,6 +25,16 @@ def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with an id, and a column that tells them apart, ordered as doc_id: doc_id itself, or where ids repeat the row's place in their order."""
+    docs = docs.where("doc_id is not null")
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs, "doc_id"
+    rows = materialise(docs.withColumn("row_at", F.monotonically_increasing_id()))
+    places = op.with_index(flow(rows.select("doc_id", "row_at"), "doc_id", "row_at"), name="row_place").df.select("row_at", "row_place")
+    return materialise(rows.join(places, "row_at").drop("row_at")), "row_place"
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit_language_model(docs)
     found = language_id.identify_language(docs, model)
@@ -35,14 +47,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_jaccard.jaccard_components(docs, n=5, percent=80)
-    return _keep(docs, found.where("doc_id = component_id"))
+    """One row of each group; of rows that repeat both id and text one goes on, with or without words."""
+    rows, key = _keyed(docs)
+    if key != "doc_id":
+        rows, key = _keyed(docs.dropDuplicates(["doc_id", "text"]))
+    found = ngram_jaccard.jaccard_components(rows, n=5, percent=80, key=key)
+    return rows.join(found.where(F.col(key) == F.col("component_id")).select(key), key, "left_semi").select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated passages; a document of which nothing is left goes. n_chars follows the text."""
-    cut = substring_dedup.remove_repeats(docs).where("n_removed < n_words or n_words = 0").select("doc_id", F.col("text").alias("cut"), "n_removed")
-    rest = docs.drop("text").join(cut, "doc_id").withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("cut").cast("long")).otherwise(F.col("n_chars")))
+    rows, key = _keyed(docs)
+    cut = substring_dedup.remove_repeats(rows, key=key).where("n_removed < n_words or n_words = 0").select(key, F.col("text").alias("cut"), "n_removed")
+    rest = rows.drop("text").join(cut, key).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("cut").cast("long")).otherwise(F.col("n_chars")))
     return rest.withColumnRenamed("cut", "text").select(*docs.columns)
 
 

@@ -37,3 +37,13 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == [0, 3, 4]
     cut = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.substring_stage(spark, docs, "").collect()}
     assert set(cut) == {0, 2, 3, 4} and cut[2] == ("other", 5) and cut[0][0] == base
+
+
+def test_repeated_rows(spark):
+    base, other = (" ".join(f"{c}{k}" for k in range(60)) for c in "wv")
+    texts = [(1, base), (1, base), (1, base), (2, "few words here"), (2, "few words here"), (3, other), (3, "another short text")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    read = lambda df: sorted((r.doc_id, r.text) for r in df.collect())
+    once = sorted(set(texts))
+    assert read(corpus_pipeline.near_duplicate_stage(spark, docs, "")) == once
+    assert read(corpus_pipeline.substring_stage(spark, docs, "")) == sorted([*once, (2, "few words here")])
