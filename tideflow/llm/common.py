@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,9 +26,11 @@ def session_of(df: DataFrame) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; only where that is unset (tests), under the machine's own temp folder."""
+    """A new folder under spark.checkpoint.dir; only where that is unset and everything runs in one process (tests), under the machine's own temp folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     return f"{base.rstrip('/')}/tideflow-{uuid.uuid4().hex}"
 
@@ -37,7 +40,16 @@ def materialise(df: DataFrame, zstd: bool = True) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark)
     df.write.option("compression", "zstd" if zstd else "none").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.scratch_path = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables of materialised frames that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow_schema(schema: T.StructType) -> pa.Schema:

@@ -1,13 +1,18 @@
 """Approximate nearest neighbours: NN-descent builds the neighbour graph, greedy graph search answers the queries.
 
-Graph: each vector starts with its nearest among the members of a few hashed blocks. Then, round by round, every
-vector's neighbours and some of its reverse neighbours are joined to it with their vectors, and compared among each
-other: a neighbour of a neighbour that is nearer than the farthest known one replaces it. Only pairs with a member new
-since the last round are compared. Rounds end when few lists change.
+Graph: each vector starts with the nearest among the members of a few leaves; a leaf holds vectors on the same side of
+some random hyperplanes through the middle of the table, so it is a region, and a crowded region is split by a hash.
+Then, round by round, every vector's neighbours and reverse neighbours are joined to it with their vectors and compared
+among each other: a neighbour of a neighbour that is nearer than the farthest known one replaces it. Only pairs with a
+member new since the last round are compared. Rounds end when few lists change. Rounds run at every size of the table.
+Vectors of one region have one home, and a vector that several centres of a home want is brought there once.
 
 Search: a query starts at its own place in the graph; each hop joins the best unexpanded members of its beam with
 their neighbours (both ways) and those with their vectors, until the beam has nothing left to expand. Distances are
-Euclidean, in double precision on the original vectors.
+Euclidean, in double precision on the original vectors, in the graph as well as in the search.
+
+Lists are bounded as the method has it, by parameters: NEIGHBOURS forward links, as many reverse links in a round's
+comparisons (which ones is drawn by hash, new ones first) and the nearest 2 * NEIGHBOURS reverse links in the search.
 
 Equal vectors are one class, searched once and expanded at the end; of a class only its `top` + 2 least ids can be
 among the `top` nearest, as ties go to the smaller id, so nothing is lost. Every valid vector is indexed.
@@ -21,14 +26,21 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideflow.llm.common import arrow_schema, materialise, session_of, struct
+from tideflow.llm.common import arrow_schema, discard, materialise, session_of, struct
 
-#: Neighbours kept; most rounds; share of changed entries at which rounds end; beam and members expanded in a hop.
-NEIGHBOURS, ROUNDS, SETTLED, BEAM, WIDTH, BLOCK = 20, 8, 0.01, 600, 150, 512
+#: Neighbours kept; most rounds; share of changed entries at which rounds end.
+NEIGHBOURS, ROUNDS, SETTLED = 32, 6, 0.05
+#: Sets of start leaves, and the most vectors of a leaf; vectors of a home; vectors from which hyperplanes are put in the middle.
+STARTS, LEAF, HOME, MIDDLE_ROWS = 10, 512, 2000, 4096
+#: Beam of the search and members expanded in a hop; queries handled by one task; hops after which the search gives up with an error.
+BEAM, WIDTH, TASK_QUERIES, MOST_HOPS = 160, 32, 200, 1000
+#: Compared pairs held before the best of them are taken.
+_HELD = 1 << 20
 
 
 def _grouped(df: DataFrame, keys: list[str], fn, schema: T.StructType) -> DataFrame:
@@ -68,97 +80,168 @@ def _distances(x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq[:, None] + sq[None] - 2 * (x @ x.T), 0))
 
 
-EDGE = "u long, v long, d float, fresh boolean"
+#: A link u -> v: its length, whether it is new, and the homes of both.
+EDGE = "u long, v long, d double, fresh boolean, hu long, hv long"
 
 
-def _merge(edges: DataFrame, k: int, parts: int) -> DataFrame:
-    def fn(part, u, v, d, fresh):
-        u, v, d, fresh = u.to_numpy(), v.to_numpy(), d.to_numpy(), fresh.to_numpy()
+def _merge(edges: DataFrame, k: int) -> DataFrame:
+    def fn(u, v, d, fresh, hu, hv):
+        u, v, d, fresh, hu, hv = (c.to_numpy() for c in (u, v, d, fresh, hu, hv))
         keep = _best(u, v, d, fresh, k)
-        return u[keep], v[keep], d[keep], fresh[keep]
-
-    return _grouped(edges.select(_part("u", parts), "u", "v", "d", "fresh"), ["part"], fn, struct(EDGE))
-
-
-def neighbour_graph(vectors: DataFrame, count: int, k: int = NEIGHBOURS, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
-    """vectors: id, half (the vector as 2-byte floats). Returns u, v, d: about the k nearest v of each u."""
-    parts = max(64, count // 2000)
-    blocks = max(1, -(-count // BLOCK))
+        return u[keep], v[keep], d[keep], fresh[keep], hu[keep], hv[keep]
+
+    return _grouped(edges.select("u", "v", "d", "fresh", "hu", "hv"), ["hu"], fn, struct(EDGE))
+
+
+def leaves(vectors: DataFrame, count: int, starts: int, most: int, kind: str) -> DataFrame:
+    """id, vector and `codes`: for each set of leaves the side of every one of its hyperplanes. A hyperplane has a random direction and stands in the middle of at most about MIDDLE_ROWS vectors chosen by hash."""
+    bits = max(0, int(np.ceil(np.log2(max(1, count / most)))))
+    schema = struct("id long, full binary, codes array<long>")
+    if not bits:
+        return vectors.select("id", "full", F.array_repeat(F.lit(0).cast("long"), starts).alias("codes"))
+    some = vectors.where(F.pmod(F.xxhash64(F.lit(29), "id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, MIDDLE_ROWS / count))).select("full").collect()
+    x = np.array(sorted(np.frombuffer(r[0], kind).tolist() for r in some) or [np.frombuffer(vectors.first()["full"], kind).tolist()], float)
+    scale = max(float(np.abs(x).max()), 1e-300)
+    turns = np.random.default_rng(11).normal(size=(starts * bits, x.shape[1]))
+    middle = np.median(x / scale @ turns.T, axis=0)
+    out = arrow_schema(schema)
 
-    def start(block, ident, half):
-        ids, x = ident.to_numpy(), _matrix(half, "<f2").astype(np.float32)
+    def code(batches):
+        for batch in batches:
+            with np.errstate(over="ignore"):
+                side = _matrix(pa.chunked_array([batch.column(1)]), kind).astype(float) / scale @ turns.T > middle
+            codes = (side.reshape(len(side), starts, bits) << np.arange(bits)).sum(2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes.tolist(), pa.list_(pa.int64()))], schema=pa.schema([out.field(0), out.field(1), out.field(2)]))
+
+    return vectors.select("id", "full").mapInArrow(code, schema)
+
+
+def _split(df: DataFrame, region: list[str], most: int, name: str) -> DataFrame:
+    """Add `name`, a hash that tells regions apart, and parts of a region that holds more than `most` rows."""
+    sizes = df.groupBy(*region).agg(F.ceil(F.count("*") / most).alias("_pieces"))
+    piece = F.pmod(F.xxhash64(F.lit(7), "id"), F.col("_pieces"))
+    return df.join(sizes, region).withColumn(name, F.xxhash64(*region, piece)).drop("_pieces")
+
+
+def neighbour_graph(vectors: DataFrame, count: int, k: int = NEIGHBOURS, rounds: int = ROUNDS, settled: float = SETTLED, kind: str = "<f4", starts: int = STARTS) -> DataFrame:
+    """vectors: id, full (the vector's numbers, of numpy type `kind`). Returns u, v, d: about the k nearest v of each u."""
+    leaf = min(LEAF, max(k + 1, count // 8))
+    coded = materialise(leaves(vectors, count, starts, leaf, kind))
+    homes = _split(coded.withColumn("region", F.element_at("codes", 1)), ["region"], HOME, "home").drop("region")
+    homes = materialise(homes)
+    discard(coded)
+    at_home = homes.select("id", "home", "full")
+    # the nearest half of a leaf's members are enough to begin with; the rounds find the others
+    first = max(min(k, 8), k // 2)
+
+    def start(_leaf, ident, home, full):
+        ids, home, x = ident.to_numpy(), home.to_numpy(), _matrix(full, kind).astype(float)
         dist = _distances(x)
         np.fill_diagonal(dist, np.inf)
-        near = np.argsort(dist, axis=1, kind="stable")[:, : min(k, len(ids) - 1)]
-        u = np.repeat(ids, near.shape[1])
-        return u, ids[near].reshape(-1), np.take_along_axis(dist, near, 1).reshape(-1), np.ones(len(u), bool)
-
-    graph = None
-    for turn in range(2 if blocks > 1 else 1):
-        dealt = vectors.select(F.pmod(F.xxhash64(F.lit(turn), "id"), F.lit(blocks)).alias("block"), "id", "half")
-        found = _grouped(dealt, ["block"], start, struct(EDGE))
-        graph = found if graph is None else graph.unionByName(found)
-    graph = materialise(_merge(graph, k, parts))
-
-    def join_locally(part, centre, member, fresh, half, reach):
-        centre, member, fresh, reach = centre.to_numpy(), member.to_numpy(), fresh.to_numpy(zero_copy_only=False), reach.to_numpy()
-        x = _matrix(half, "<f2").astype(np.float32)
-        order = np.argsort(centre, kind="stable")
-        edges = np.flatnonzero(np.diff(centre[order], prepend=np.iinfo(np.int64).min, append=np.iinfo(np.int64).max))
-        us, vs, ds = [], [], []
+        m = min(first, len(ids) - 1)
+        near = np.argpartition(dist, m, axis=1)[:, :m] if m < len(ids) - 1 else np.argsort(dist, axis=1)[:, :m]
+        u = np.repeat(np.arange(len(ids)), m)
+        v = near.reshape(-1)
+        return ids[u], ids[v], dist[u, v], np.ones(len(u), bool), home[u], home[v]
+
+    dealt = homes.select("id", "home", "full", F.posexplode("codes").alias("turn", "code"))
+    dealt = _split(dealt, ["turn", "code"], leaf, "leaf").select("leaf", "id", "home", "full")
+    graph = materialise(_merge(_grouped(dealt, ["leaf"], start, struct(EDGE)), k))
+    schema = struct(EDGE)
+    out = arrow_schema(schema)
+
+    def compare(lists: pa.Table, brought: pa.Table) -> pa.Table:
+        ids = brought.column("id").to_numpy()
+        order = np.argsort(ids)
+        ids, home, reach = ids[order], brought.column("home").to_numpy()[order], brought.column("reach").to_numpy()[order]
+        x = _matrix(brought.column("full"), kind)[order]
+        centre, member = lists.column("centre").to_numpy(), np.searchsorted(ids, lists.column("member").to_numpy())
+        fresh = lists.column("fresh").to_numpy()
+        order = np.lexsort((~fresh, member, centre))
+        centre, member, fresh = centre[order], member[order], fresh[order]
+        once = np.ones(len(centre), bool)
+        once[1:] = (np.diff(centre) != 0) | (np.diff(member) != 0)
+        centre, member, fresh = centre[once], member[once], fresh[once]
+        edges = np.append(np.flatnonzero(np.diff(centre, prepend=centre[:1] - 1)), len(centre)) if len(centre) else np.zeros(0, np.int64)
+        kept, held = [], 0
+
+        def squeeze():
+            nonlocal kept, held
+            u, v, d = (np.concatenate([part[i] for part in kept]) for i in range(3))
+            pair = u << 32 | v
+            _, at = np.unique(pair, return_index=True)
+            at = at[np.lexsort((d[at], u[at]))]
+            first = np.flatnonzero(np.diff(u[at], prepend=-1))
+            at = at[np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at)))) < k]
+            kept, held = [(u[at], v[at], d[at])], len(at)
+
         for a, b in zip(edges[:-1], edges[1:]):
-            at = order[a:b]
-            if len(at) < 2 or not fresh[at].any():
+            new = fresh[a:b]
+            if b - a < 2 or not new.any():
                 continue
-            dist = _distances(x[at])
-            want = (fresh[at][:, None] | fresh[at][None]) & (dist < reach[at][:, None]) & (member[at][:, None] != member[at][None])
+            at = member[a:b]
+            dist = _distances(x[at].astype(float))
+            want = (new[:, None] | new[None]) & (dist < reach[at][:, None])
+            np.fill_diagonal(want, False)
             i, j = np.nonzero(want)
-            us.append(member[at[i]])
-            vs.append(member[at[j]])
-            ds.append(dist[i, j])
-        if not us:
-            return [], [], [], []
-        u, v, d = np.concatenate(us), np.concatenate(vs), np.concatenate(ds).astype(np.float32)
-        keep = _best(u, v, d, np.ones(len(u), bool), k)
-        return u[keep], v[keep], d[keep], np.ones(len(keep), bool)
-
-    for _ in range(rounds if blocks > 1 else 0):
-        back = graph.select(F.col("v").alias("centre"), F.col("u").alias("member"), "fresh")
+            kept.append((at[i], at[j], dist[i, j]))
+            held += len(i)
+            if held > _HELD:
+                squeeze()
+                held = 0
+        if not kept:
+            return pa.table([pa.array([], f.type) for f in out], schema=out)
+        squeeze()
+        u, v, d = kept[0]
+        return pa.table([pa.array(c, f.type) for c, f in zip((ids[u], ids[v], d, np.ones(len(u), bool), home[u], home[v]), out)], schema=out)
+
+    for _ in range(rounds):
+        ahead = graph.select(F.col("u").alias("centre"), F.col("hu").alias("home"), F.col("v").alias("member"), "fresh")
+        back = graph.select(F.col("v").alias("centre"), F.col("hv").alias("home"), F.col("u").alias("member"), "fresh")
         turn = Window.partitionBy("centre").orderBy(F.col("fresh").desc(), F.xxhash64("centre", "member"))
-        back = back.withColumn("n", F.row_number().over(turn)).where(F.col("n") <= k).drop("n")  # a sample of the reverse neighbours, as NN-descent takes it; forward lists are whole
-        lists = graph.select(F.col("u").alias("centre"), F.col("v").alias("member"), "fresh").unionByName(back).groupBy("centre", "member").agg(F.max("fresh").alias("fresh"))
-        lists = lists.join(lists.where("fresh").select("centre").distinct(), "centre", "left_semi")  # where nothing is new there is nothing to compare
-        reach = graph.groupBy("u").agg(F.when(F.count("*") < k, F.lit(float("inf"))).otherwise(F.max("d")).cast("float").alias("reach"))
-        known = vectors.join(reach, vectors.id == reach.u).select(F.col("id").alias("member"), "half", "reach")
-        joined = lists.join(known, "member").select(_part("centre", parts), "centre", "member", "fresh", "half", "reach")
-        better = _grouped(joined, ["part"], join_locally, struct(EDGE))
-        graph = materialise(_merge(graph.withColumn("fresh", F.lit(False)).unionByName(better), k, parts))
+        back = back.withColumn("n", F.row_number().over(turn)).where(F.col("n") <= k).drop("n")
+        lists = materialise(ahead.unionByName(back))
+        reach = graph.groupBy("u").agg(F.when(F.count("*") < k, F.lit(float("inf"))).otherwise(F.max("d")).alias("reach"))
+        known = at_home.join(reach, at_home.id == reach.u).select("id", "home", "full", "reach")
+        wanted = lists.select(F.col("home").alias("to"), F.col("member")).distinct()
+        brought = wanted.join(known, wanted.member == known.id).select("to", "id", "home", "full", "reach")
+        better = lists.select("home", "centre", "member", "fresh").groupBy("home").cogroup(brought.groupBy("to")).applyInArrow(compare, schema)
+        before = graph
+        graph = materialise(_merge(before.withColumn("fresh", F.lit(False)).unionByName(better), k))
+        discard(before, lists)
         if graph.where("fresh").count() <= settled * k * count:
             break
+    discard(homes)
     return graph.select("u", "v", "d")
 
 
-def greedy_search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, count: int, beam: int = BEAM, width: int = WIDTH, k: int = NEIGHBOURS, most_hops: int = 25) -> DataFrame:
-    """vectors: id, full (the original as 4-byte floats). queries: q, the ids to start from. Returns q, node, d: each query's beam."""
-    parts = 64
+def greedy_search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, beam: int = BEAM, width: int = WIDTH, k: int = NEIGHBOURS, kind: str = "<f4", most_hops: int = MOST_HOPS, looked: Accumulator | None = None) -> DataFrame:
+    """vectors: id, full (the original's numbers). queries: q, the ids to start from. Returns q, node, d: what each query has looked at. looked counts the distances computed."""
+    parts = max(12, -(-queries.count() // TASK_QUERIES))
     back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "d").withColumn("n", F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))).where(F.col("n") <= 2 * k).drop("n", "d")
     ways = materialise(graph.select("u", "v").unionByName(back).groupBy("u").agg(F.collect_set("v").alias("to")))
     state_schema = struct("q long, node long, d double, open boolean, next boolean")
     asked = materialise(queries.join(vectors, queries.q == vectors.id).select("q", F.col("full").alias("query")))
 
     def visit(part, q, node, d, open_, full, query):
-        q, node, d, open_ = q.to_numpy(), node.to_numpy(), d.to_numpy().copy(), open_.to_numpy(zero_copy_only=False).copy()
-        wanted = np.flatnonzero(np.isnan(d))
-        if len(wanted):
-            asked_by = {int(i): np.frombuffer(x, "<f4").astype(np.float64) for i, x in zip(q, query.to_pylist()) if x is not None}
-            raw = full.to_pylist()
-            for a in range(0, len(wanted), 4096):
-                at = wanted[a : a + 4096]
-                x = np.array([np.frombuffer(raw[i], "<f4") for i in at], np.float64)
-                y = np.array([asked_by[int(q[i])] for i in at])
-                d[at] = np.sqrt(((x - y) ** 2).sum(1))
-        keep = _best(q, node, d, open_, beam)
-        q, node, d, open_ = q[keep], node[keep], d[keep], open_[keep]
+        # rows without a node only bring their query's vector; rows with a vector are the new ones
+        given = np.flatnonzero(query.is_valid().to_numpy())
+        names, rows = q.to_numpy()[given], node.is_valid()
+        asked_by = _matrix(query.drop_null(), kind).astype(np.float64)[np.argsort(names)]
+        names = np.sort(names)
+        q, d, open_, fresh = (c.filter(rows).to_numpy() for c in (q, d, open_, full.is_valid()))
+        node, d, open_ = node.drop_null().to_numpy(), d.copy(), open_.copy()
+        x, wanted = _matrix(full.drop_null(), kind), np.flatnonzero(fresh)
+        for a in range(0, len(wanted), 4096):
+            at = wanted[a : a + 4096]
+            d[at] = np.sqrt(((x[a : a + 4096].astype(np.float64) - asked_by[np.searchsorted(names, q[at])]) ** 2).sum(1))
+        if looked is not None:
+            looked.add(len(wanted))
+        # every node that was looked at stays, so that none is looked at twice; the nearest `beam` of a query are its beam
+        order = np.lexsort((node, d, q))
+        q, node, d, open_ = q[order], node[order], d[order], open_[order]
+        first = np.flatnonzero(np.diff(q, prepend=q[:1] - 1))
+        open_ &= np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < beam
         chosen = np.zeros(len(q), bool)
         at = np.flatnonzero(open_)
         if len(at):
@@ -170,40 +253,34 @@ def greedy_search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, coun
 
     def evaluate(state: DataFrame, fresh: DataFrame) -> DataFrame:
         """Merge rows (q, node) into the beams."""
-        new = fresh.join(vectors, fresh.node == vectors.id).select("q", "node", F.lit(float("nan")).alias("d"), F.lit(True).alias("open"), "full")
+        new = fresh.join(vectors, fresh.node == vectors.id).select("q", "node", F.lit(None).cast("double").alias("d"), F.lit(True).alias("open"), "full")
         rows = state.select("q", "node", "d", "open", F.lit(None).cast("binary").alias("full")).unionByName(new).select("q", "node", "d", "open", "full", F.lit(None).cast("binary").alias("query"))
         marks = asked.select("q", F.lit(None).cast("long").alias("node"), F.lit(None).cast("double").alias("d"), F.lit(False).alias("open"), F.lit(None).cast("binary").alias("full"), "query")
-        return materialise(_grouped(rows.unionByName(marks).select(_part("q", parts), "q", "node", "d", "open", "full", "query"), ["part"], _with_marks(visit), state_schema))
+        return materialise(_grouped(rows.unionByName(marks).select(_part("q", parts), "q", "node", "d", "open", "full", "query"), ["part"], visit, state_schema))
 
     empty = asked.where("false").select("q", F.col("q").alias("node"), F.lit(0.0).alias("d"), F.lit(True).alias("open"))
     state = evaluate(empty, asked.select("q", F.col("q").alias("node")))
-    for _ in range(most_hops):
+    for hop in range(most_hops + 1):
+        if hop == most_hops:
+            raise RuntimeError(f"the search has not ended after {most_hops} hops")
         step = state.where("next").select("q", F.col("node").alias("u")).join(ways, "u").select("q", F.explode("to").alias("node")).distinct()
         fresh = step.join(state.select("q", "node"), ["q", "node"], "left_anti")
-        state = evaluate(state, fresh)
+        before, state = state, evaluate(state, fresh)
+        discard(before)
         if state.where("next").isEmpty():
             break
+    discard(ways, asked)
     return state.select("q", "node", "d")
 
 
-def _with_marks(visit):
-    """Rows without a node only bring their query's vector."""
-
-    def fn(part, q, node, d, open_, full, query):
-        import pyarrow.compute as pc
-
-        rows = pc.is_valid(node)
-        marks = pc.invert(rows)
-        vector = dict(zip(q.filter(marks).to_pylist(), query.filter(marks).to_pylist()))
-        q = q.filter(rows)
-        return visit(part, q, node.filter(rows), d.filter(rows), open_.filter(rows), full.filter(rows), pa.chunked_array([pa.array([vector[x] for x in q.to_pylist()], pa.binary())]))
-
-    return fn
+def number_kind(table: DataFrame, vector: str) -> str:
+    return "<f8" if table.schema[vector].dataType.simpleString() == "array<double>" else "<f4"
 
 
 def valid_vectors(table: DataFrame, key: str, vector: str) -> DataFrame:
-    """id, full: those rows that take part, with the vector as packed 4-byte floats."""
-    fit = table.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("x"))
+    """id, size, full: those rows that take part, with the vector's numbers packed: 8-byte floats for an array of doubles, else 4-byte floats."""
+    fit = table.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("x"))
+    kind = number_kind(table, vector)
     schema = struct("id long, size int, full binary")
     out = arrow_schema(schema)
 
@@ -212,7 +289,7 @@ def valid_vectors(table: DataFrame, key: str, vector: str) -> DataFrame:
             ids, sizes, packed = [], [], []
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if x and None not in x:
-                    v = np.array(x, "<f4")
+                    v = np.array(x, kind)
                     if np.isfinite(v).all() and v.any():
                         ids.append(i)
                         sizes.append(len(v))
@@ -222,8 +299,8 @@ def valid_vectors(table: DataFrame, key: str, vector: str) -> DataFrame:
     return fit.mapInArrow(pack, schema)
 
 
-def nearest(table: DataFrame, is_query: F.Column, key: str = "vec_id", vector: str = "embedding", top: int = 10) -> DataFrame:
-    """Of each query row the `top` nearest other rows that are found: query_id, rank (from 1), vec_id, score (distance)."""
+def nearest(table: DataFrame, is_query: F.Column, key: str = "vec_id", vector: str = "embedding", top: int = 10, looked: Accumulator | None = None) -> DataFrame:
+    """Of each query row the `top` nearest other rows that are found: query_id, rank (from 1), vec_id, score (distance). looked counts the distances that the search computes."""
     session_of(table)
     rows = materialise(valid_vectors(table, key, vector).groupBy("id").agg(F.min(F.struct("size", "full")).alias("x")).select("id", "x.size", "x.full"))
     usual = rows.groupBy("size").count().orderBy(F.desc("count"), "size").first()
@@ -232,20 +309,11 @@ def nearest(table: DataFrame, is_query: F.Column, key: str = "vec_id", vector: s
     rows = rows.where(F.col("size") == usual[0])
     classes = rows.groupBy("full").agg(F.min("id").alias("rep"))
     members = materialise(rows.join(classes, "full").select("id", "rep", "full"))
-    reps = members.where("id = rep").select("id", "full")
-    schema = struct("id long, full binary, half binary")
-    out = arrow_schema(schema)
-
-    def halve(batches):
-        for batch in batches:
-            x = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary()), pa.array([np.frombuffer(v, "<f4").astype("<f2").tobytes() for v in x], pa.binary())], schema=out)
-
-    reps = materialise(reps.mapInArrow(halve, schema))
-    count = reps.count()
-    graph = neighbour_graph(reps.select("id", "half"), count)
+    reps = materialise(members.where("id = rep").select("id", "full"))
+    kind = number_kind(table, vector)
+    graph = neighbour_graph(reps, reps.count(), kind=kind)
     asked = materialise(members.join(table.where(is_query & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("query_id"), "rep"))
-    beams = greedy_search(reps.select("id", "full"), graph, asked.select(F.col("rep").alias("q")).distinct(), count)
+    beams = greedy_search(reps, graph, asked.select(F.col("rep").alias("q")).distinct(), kind=kind, looked=looked)
     few = members.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("n") <= top + 2).select(F.col("rep").alias("node"), "id")
     near = beams.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("d", "node"))).where(F.col("n") <= top + 1).drop("n")
     found = asked.join(near, asked.rep == near.q).join(few, "node").where("id <> query_id")
