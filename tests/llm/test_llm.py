@@ -5,7 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter
-from itertools import pairwise
+from itertools import pairwise, product
 
 import numpy as np
 import pytest
@@ -432,3 +432,55 @@ def test_viterbi_finds_the_best_path():
         value = lambda p: field.start[p[0]] + sum(e[t, y] for t, y in enumerate(p)) + sum(field.move[a, b] for a, b in pairwise(p))
         best = max((tuple(int(c) for c in f"{k:0{n}b}") for k in range(2**n)), key=value)
         assert tuple(field.decode(feats.tolist())) == best
+
+
+def test_line_field_gradient_against_all_paths():
+    """The likelihood of the documents' labels by enumerating every labelling, and its slope by differences."""
+    rng = np.random.default_rng(2)
+    field, k = quality_rules.LineField(), len(quality_rules.FEATURES)
+    field.emit, field.move, field.start = rng.normal(size=(k, 2)), rng.normal(size=(2, 2)), rng.normal(size=2)
+    docs = [(rng.integers(0, 2, (n, k)).astype(float), y) for n, y in ((1, 1), (1, 0), (3, 1), (4, 0), (5, 0), (2, 1))]
+    for f, _ in docs:
+        f[:, 0] = 1
+
+    def likelihood():
+        out = 0.0
+        for f, good in docs:
+            e, n = f @ field.emit, len(f)
+            value = lambda p: field.start[p[0]] + sum(e[t, y] for t, y in enumerate(p)) + sum(field.move[a, b] for a, b in pairwise(p))  # noqa: B023, E731
+            weights = [math.exp(value(p)) for p in product((0, 1), repeat=n)]
+            q = weights[-1] / sum(weights)
+            out += math.log(q if good else quality_rules.NOISE + (1 - quality_rules.NOISE) * (1 - q))
+        return out
+
+    most = max(len(f) for f, _ in docs)
+    x = np.zeros((len(docs), most, k))
+    for i, (f, _) in enumerate(docs):
+        x[i, : len(f)] = f
+    value, slopes = field.gradient(x, x[:, :, 0] > 0, np.array([y for _, y in docs]))
+    assert value == pytest.approx(likelihood())
+    for theta, slope in zip((field.emit, field.move, field.start), slopes):
+        for at in np.ndindex(theta.shape):
+            theta[at] += 1e-5
+            up = likelihood()
+            theta[at] -= 2e-5
+            down = likelihood()
+            theta[at] += 1e-5
+            assert slope[at] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
+def test_lines_are_told_apart_within_a_document(spark):
+    """Labels of whole documents alone teach the field which lines of a mixed document are boilerplate."""
+    rng = random.Random(6)
+    prose = lambda: " ".join(rng.choice(["stone", "river", "tree", "cloud", "field", "light"]) for _ in range(rng.randint(6, 20))).capitalize() + "."
+    junk = lambda: " ".join(rng.choice(["stone###", "$$$", "tree%%%", "a|b", "***"]) for _ in range(rng.randint(6, 20)))
+    block = lambda make, least=1: [make() for _ in range(rng.randint(least, 5))]
+    good = ["\n".join(block(prose)) for _ in range(60)]
+    bad = ["\n".join([*block(prose, 0), *block(junk), *block(prose, 0)]) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, quality int")
+    field = quality_rules.fit_line_field(docs, labels)
+    mixed = "\n".join([prose(), prose(), junk(), junk(), junk(), prose()])
+    assert field.decode(quality_rules.lines_of(mixed.encode())[0]) == [1, 1, 0, 0, 0, 1]
+    shares = by_id(quality_rules.apply_quality_rules(docs, field), "content_share")
+    assert all(shares[i] == (1.0,) for i in range(60)) and sum(0 < shares[i][0] < 1 for i in range(60, 120)) >= 30

@@ -78,12 +78,17 @@ def fold_of(doc_id: str, parts: int) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(parts), F.lit(-1))
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """About `rows` rows of df, chosen by a hash of the key: a fixed choice, independent of partitioning. All rows if there are fewer."""
+def bounded_sample(df: DataFrame, key: str, rows: int, by: str | None = None, least: int = 0) -> DataFrame:
+    """About `rows` rows of df, chosen by a hash of the key (of the whole row where the key is null): a fixed choice, independent of partitioning. All rows if there are fewer. With `by`, about `least` rows more of each of its values that has them, so that a rare one is not missed."""
     total = df.count()
     if total <= rows:
         return df
-    return df.where(F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1 << 30)) < int((1 << 30) * (rows / total)))
+    place = F.pmod(F.xxhash64(F.lit(17), F.col(key), F.when(F.col(key).isNull(), F.xxhash64(*df.columns))), F.lit(1 << 30))
+    if by is None:
+        return df.where(place < int((1 << 30) * (rows / total)))
+    sizes = df.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_size"))
+    share = F.least(F.lit(1.0), F.lit(rows / total) + F.lit(float(least)) / F.col("_size"))
+    return df.join(sizes, df[by].eqNullSafe(F.col("_by"))).where(place < share * (1 << 30)).select(*df.columns)
 
 
 class Memo(dict):

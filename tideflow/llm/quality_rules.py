@@ -2,9 +2,12 @@
 
 Each document is a sequence of lines with a word. A linear-chain conditional random field gives each line a label,
 content or boilerplate; Viterbi decoding finds the best sequence, and the share of words in content lines decides
-whether the document stays. The field is trained here: by gradient ascent on the exact likelihood (forward-backward),
-on a bounded sample of documents whose quality is labelled, where each line takes its document's label. Lines of
-good documents outnumber clean lines in bad ones, so a clean line in a bad document still comes out as content.
+whether the document stays. The field is trained here on a bounded sample of documents whose quality is labelled. Labels
+are given for documents, never for lines, so lines are latent: a good document has content in every line, a bad one has
+boilerplate in at least one, and which ones is left to the field. Both are likelihoods that forward-backward gives
+exactly, and their sum is climbed by its gradient (expectations given the document's label, less those without it), so
+a clean line of a bad document is learned as content, and where a document changes from one to the other is learned too.
+Of labels that say bad a share of NOISE is taken to be wrong.
 
 Defined results: null text is the empty text, which has no word and so fails the base rules. With no labelled
 document the field falls back to the starting weights below. Repeated rows and null ids are treated each by itself;
@@ -13,7 +16,6 @@ extra columns are ignored; texts are treated whole.
 
 from __future__ import annotations
 
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,8 +23,9 @@ from pyspark.sql import functions as F
 from tideflow.llm.common import bounded_sample, map_rows, struct
 
 SYMBOLS = b"#*$%&|<>"
-#: The most labelled documents the field is fitted on.
-TRAIN_ROWS = 2000
+#: The most labelled documents the field is fitted on, and the most lines one of them may have to be drawn.
+TRAIN_ROWS, TRAIN_LINES = 2000, 10_000
+NOISE = 0.05
 BASE_MIN_WORDS, BASE_REPEAT_PERCENT = 10, 20
 CONTENT_SHARE = 0.5
 FEATURES = ("bias", "symbols>2%", "symbols>10%", "marks>10%", "marks>25%", "capitals>30%", "capitals>70%", "digits>15%", "at most 3 words", "over 30 words", "line seen before", "words repeat", "no sentence end")
@@ -73,8 +76,8 @@ class LineField:
         self.emit[0, 1] = 1.0
         self.emit[1:8, 0] = 0.8
 
-    def fit(self, docs: list[tuple[np.ndarray, int]], steps: int = 120, rate: float = 0.1, decay: float = 1e-3) -> LineField:
-        """docs: (line features, label of all its lines)."""
+    def fit(self, docs: list[tuple[np.ndarray, int]], steps: int = 150, rate: float = 0.1, decay: float = 1e-3) -> LineField:
+        """docs: (line features, whether the document is good)."""
         docs = [d for d in docs if len(d[0])]
         if not docs:
             return self
@@ -93,7 +96,7 @@ class LineField:
         for step in range(1, steps + 1):
             grads = [np.zeros_like(t) for t in theta]
             for x, mask, y in groups:
-                for g, more in zip(grads, self._gradient(x, mask, y)):
+                for g, more in zip(grads, self.gradient(x, mask, y)[1]):
                     g += more
             for t, g, a, b in zip(theta, grads, m1, m2):
                 g = g / total - decay * t
@@ -102,8 +105,8 @@ class LineField:
                 t += rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
         return self
 
-    def _gradient(self, x, mask, y):
-        """Observed less expected feature counts, by forward-backward in logs."""
+    def gradient(self, x: np.ndarray, mask: np.ndarray, good: np.ndarray) -> tuple[float, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The log-likelihood of the documents' labels and its gradient, by forward-backward in logs. With q the probability that every line is content, a good document has q, a bad one NOISE + (1 - NOISE) (1 - q)."""
         n, most, _ = x.shape
         e = x @ self.emit
         fwd, back = np.zeros((n, most, 2)), np.zeros((n, most, 2))
@@ -112,18 +115,21 @@ class LineField:
             nxt = np.logaddexp(fwd[:, t - 1, 0, None] + self.move[0], fwd[:, t - 1, 1, None] + self.move[1]) + e[:, t]
             fwd[:, t] = np.where(mask[:, t, None], nxt, fwd[:, t - 1])
         z = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])
+        steps = mask[:, 1:].sum(1)
+        log_q = np.minimum(self.start[1] + (e[:, :, 1] * mask).sum(1) + steps * self.move[1, 1] - z, 0)
+        q = np.exp(log_q)
+        bad = NOISE + (1 - NOISE) * -np.expm1(log_q)
+        pull = np.where(good > 0, 1.0, -(1 - NOISE) * q / bad)  # of each document towards all lines being content
         pairs = np.zeros((2, 2))
         for t in range(most - 2, -1, -1):
             ahead = e[:, t + 1] + back[:, t + 1]
             nxt = np.logaddexp(self.move[None, :, 0] + ahead[:, None, 0], self.move[None, :, 1] + ahead[:, None, 1])
             back[:, t] = np.where(mask[:, t + 1, None], nxt, 0)
             joint = np.exp(fwd[:, t, :, None] + self.move[None] + ahead[:, None, :] - z[:, None, None])
-            pairs += (joint * mask[:, t + 1, None, None]).sum(0)
-        gap = np.zeros((n, most, 2))
-        gap[np.arange(n), :, y] = 1
-        gap = (gap - np.exp(fwd + back - z[:, None, None])) * mask[:, :, None]
-        moves = np.bincount(y, weights=mask[:, 1:].sum(1), minlength=2)
-        return np.einsum("ntf,ntk->fk", x, gap), np.diag(moves) - pairs, gap[:, 0].sum(0)
+            pairs += (joint * (mask[:, t + 1] * pull)[:, None, None]).sum(0)
+        gap = (np.array([0.0, 1.0]) - np.exp(fwd + back - z[:, None, None])) * (mask * pull[:, None])[:, :, None]
+        moves = np.array([[0, 0], [0, (steps * pull).sum()]]) - pairs
+        return float(np.where(good > 0, log_q, np.log(bad)).sum()), (np.einsum("ntf,ntk->fk", x, gap), moves, gap[:, 0].sum(0))
 
     def decode(self, feats: list[tuple[int, ...]]) -> list[int]:
         """Viterbi: the best labels of the lines; ties go to content."""
@@ -177,11 +183,21 @@ def judge(text: str | None, field: LineField, content_share: float = CONTENT_SHA
     return len(words), len(b"".join(words).decode()), len(raw) - len(raw.translate(None, SYMBOLS)), dup, repeat, failed, not failed and share >= content_share, share
 
 
-def fit_line_field(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> LineField:
-    """Fit on at most about `rows` documents of those in labels(doc_id, quality), quality 0 or 1."""
+def fit_line_field(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, lines: int = TRAIN_LINES) -> LineField:
+    """Fit on at most about `rows` documents of those in labels(doc_id, quality), quality 0 or 1, of at most `lines` lines. Only the lines' features come to the driver, one number for each."""
     some = bounded_sample(labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id", rows)
-    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "quality").collect()
-    return LineField().fit([(np.array(lines_of((t or "").encode())[0], dtype=float).reshape(-1, len(FEATURES)), int(q > 0)) for t, q in sorted(got, key=lambda r: (r[1], r[0] or ""))])
+    drawn = docs.select("doc_id", "text").join(some, "doc_id").select("text", "quality")
+
+    def make():
+        def fn(texts, grades):
+            found = [lines_of((t or "").encode())[0] for t in texts]
+            return [[[sum(bool(v) << k for k, v in enumerate(f)) for f in feats] if len(feats) <= lines else [] for feats in found], grades]
+
+        return fn
+
+    got = map_rows(drawn, ["text", "quality"], struct("feats array<int>, quality int"), make).collect()
+    unpack = lambda codes: (np.array(codes, np.int64)[:, None] >> np.arange(len(FEATURES)) & 1).astype(float).reshape(-1, len(FEATURES))
+    return LineField().fit([(unpack(r.feats), int(r.quality > 0)) for r in sorted(got, key=lambda r: (r.quality, r.feats))])
 
 
 def apply_quality_rules(docs: DataFrame, field: LineField, content_share: float = CONTENT_SHARE) -> DataFrame:
