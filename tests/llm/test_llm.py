@@ -278,6 +278,48 @@ def test_configurations_hold_every_piece():
     assert sum(t for _, t in plan) <= 12 + 300 + 206 + 5
 
 
+def test_every_sequence_comes_from_the_program(monkeypatch):
+    rng = np.random.default_rng(3)
+    lengths, counts = np.unique(np.minimum(2048, rng.lognormal(5.5, 1.3, 3000).astype(int) + 1), return_counts=True)
+    histogram = dict(zip(lengths.tolist(), counts.tolist()))
+    found, solve = {(2048,)}, packing.fractional_cover
+
+    def cover(*args):
+        out = solve(*args)
+        found.update(out)
+        return out
+
+    monkeypatch.setattr(packing, "fractional_cover", cover)
+    plan = packing.solve_configurations(histogram)
+    used = Counter()
+    for config, times in plan:
+        assert config in found and sum(config) <= 2048
+        for n in config:
+            used[n] += times
+    assert used == histogram
+    volume = -(-sum(n * c for n, c in histogram.items()) // 2048)
+    assert volume <= sum(t for _, t in plan) <= 1.005 * volume + 1
+
+
+def test_knapsack_against_all_choices():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        lengths, counts, prices = np.sort(rng.choice(np.arange(1, 12), 4, replace=False)), rng.integers(1, 4, 4), rng.random(4)
+        best, configuration = packing.price_knapsack(prices, lengths, counts, 15)
+        for room in range(16):
+            want = max(sum(prices * k) for k in product(*(range(c + 1) for c in counts)) if sum(lengths * k) <= room)
+            got = configuration(room)
+            assert best[room] == pytest.approx(want) == pytest.approx(sum(prices[i] * k for i, k in got.items()))
+            assert all(k <= counts[i] for i, k in got.items()) and sum(lengths[i] * k for i, k in got.items()) <= room
+
+
+def test_packing_of_null_and_repeated_ids(spark):
+    rows = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, "x y z"), (3, "x y z"), (3, None), (4, "")], "doc_id long, text string")
+    got = packing.pack(rows, BYTE_BPE, capacity=8, rounds=5).collect()
+    assert Counter(r.doc_id for r in got) == {None: 2, 3: 3, 4: 1}
+    assert len({(r.sequence_id, r.offset) for r in got}) == 6
+
+
 def test_byte_tokens():
     from tokenizers import Tokenizer
 

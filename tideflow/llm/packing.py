@@ -2,10 +2,12 @@
 
 Documents are encoded, closed by an end id, and cut into pieces of at most `capacity` tokens. The histogram of piece
 lengths (at most `capacity` bins, whatever the input's size) is all the driver gets. Over it stands the configuration
-program: a configuration is a multiset of lengths that fits one sequence; cover all pieces with the fewest
-configurations. It is solved by multiplicative weights: each round prices the lengths, an unbounded knapsack dynamic
-program finds the best configuration at those prices, and prices of what it covers fall. The fractional solution is
-rounded down; what is left is packed by best fit, longest first, again over lengths only.
+program: a configuration is a multiset of lengths that fits one sequence and is there in the histogram; cover all pieces
+with the fewest configurations. It is solved by multiplicative weights: each round prices the lengths, a bounded
+knapsack dynamic program finds the best configurations at those prices, and prices of what they cover fall. The
+fractional solution is rounded down; the program of what is left is solved again, and so on; where rounding down leaves
+little, configurations with the largest pieces are used once each, as far as the pieces last, until half of what is
+left is placed; then comes the next solution. Every sequence comes from a configuration that the program has found.
 
 The plan is a table of slots: the n-th piece of a length (n: a rank made of counts by task and length, so that no
 length meets in one task) goes to a known sequence and offset. Its size depends on `capacity` and the rounds alone.
@@ -17,8 +19,8 @@ are packed each. An empty table gives an empty result. Extra columns are ignored
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 from pyspark import TaskContext
@@ -29,96 +31,98 @@ from tideflow.llm.byte_tokens import load
 from tideflow.llm.common import map_rows, materialise, struct
 
 CAPACITY = 2048
-ROUNDS = 150
-
-
-def price_knapsack(prices: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unbounded knapsack: the largest total price for each room, and the index of a length that reaches it (-1: leave one token)."""
-    best = np.zeros(capacity + 1)
-    took = np.full(capacity + 1, -1)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(int(lengths[0]), capacity + 1):
-        k = upto[c]
-        gain = best[c - lengths[:k]] + prices[:k]
-        i = int(gain.argmax())
-        if gain[i] > best[c - 1]:
-            best[c], took[c] = gain[i], i
-        else:
-            best[c] = best[c - 1]
-    return best, took
-
-
-def solve_configurations(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, step: float = 0.5, slack: float = 0.01) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations and how often each is used; together they hold every piece of the histogram exactly once."""
-    left = Counter({n: c for n, c in counts.items() if c > 0})
-    plan: list[tuple[tuple[int, ...], int]] = []
-    if full := left.pop(capacity, 0):
-        plan.append(((capacity,), full))
-    if not left:
-        return plan
-    lengths = np.array(sorted(left))
-    demand = np.array([left[int(n)] for n in lengths], float)
-    log_price = np.log(lengths / capacity)  # the prices of the volume bound
+ROUNDS = 30
+
+
+def price_knapsack(prices: np.ndarray, lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, Callable[[int], Counter]]:
+    """Bounded knapsack: the largest total price for each room, and a function that gives a room's best configuration as times by index of length."""
+    which, times = [], []
+    for i, most in enumerate(np.minimum(counts, capacity // lengths).tolist()):
+        k = 1
+        while most > 0:  # 1, 2, 4, ... copies and the rest: any number up to the bound is a sum of some
+            which.append(i)
+            times.append(min(k, most))
+            most -= k
+            k *= 2
+    best, took = np.zeros(capacity + 1), np.zeros((len(which), capacity + 1), bool)
+    gains, widths = (np.array(times) * prices[which]).tolist(), (np.array(times) * lengths[which]).tolist()
+    for row, gain, width in zip(took, gains, widths):
+        more = best[:-width] + gain
+        np.greater(more, best[width:], out=row[width:])
+        np.maximum(more, best[width:], out=best[width:])
+    took = np.ascontiguousarray(took.T)
+
+    def configuration(room: int) -> Counter:
+        found, upto = Counter(), len(which)
+        while len(last := np.flatnonzero(took[room, :upto])):
+            upto = int(last[-1])
+            found[which[upto]] += times[upto]
+            room -= widths[upto]
+        return found
+
+    return best, configuration
+
+
+def fractional_cover(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, step: float = 0.5, slack: float = 0.01) -> dict[tuple[int, ...], float]:
+    """The configuration program by multiplicative weights: configurations, and how often each is used, in fractions that in all hold as many tokens as there are."""
+    lengths = np.array(sorted(counts))
+    there = np.array([counts[int(n)] for n in lengths])
+    demand, log_price = there.astype(float), np.log(lengths / capacity)  # the prices of the volume bound
     used: Counter = Counter()
     for _ in range(rounds):
         prices = np.exp(log_price - log_price.max())
-        best, took = price_knapsack(prices, lengths, capacity)
+        best, configuration = price_knapsack(prices, lengths, there, capacity)
         value = prices + best[capacity - lengths]  # of the best configuration with each length
         moved = np.zeros(len(lengths))
-        for first in np.argsort(-value, kind="stable"):
-            if value[first] < (1 - slack) * best[capacity]:
+        for first in [None, *np.argsort(-value, kind="stable").tolist()]:
+            if first is None:  # the best of all
+                items = configuration(capacity)
+            elif value[first] < (1 - slack) * best[capacity]:
                 break
-            if moved[first] >= 1:
+            elif moved[first] >= 1:
                 continue
-            items, room = [first], capacity - int(lengths[first])
-            while room > 0:
-                if took[room] >= 0:
-                    items.append(took[room])
-                    room -= int(lengths[took[room]])
-                else:
-                    room -= 1
-            which, k = np.unique(items, return_counts=True)
-            if moved[which].max() >= 1:
+            else:
+                items = configuration(capacity - int(lengths[first]))
+                items[first] += 1
+            at, k = (np.fromiter(x, np.int64, len(items)) for x in (items.keys(), items.values()))
+            if (k > there[at]).any() or moved[at].max() >= 1:
                 continue
-            times = float((demand[which] / k).min())
-            used[tuple(sorted(lengths[items].tolist(), reverse=True))] += times
-            share = k * times / demand[which]
-            moved[which] += share
-            log_price[which] -= step * share
+            times = float((demand[at] / k).min())
+            used[tuple(np.sort(np.repeat(lengths[at], k))[::-1].tolist())] += times
+            share = k * times / demand[at]
+            moved[at] += share
+            log_price[at] -= step * share
         log_price = np.maximum(log_price, log_price.max() - 40)
     scale = float((lengths * demand).sum()) / sum(t * sum(c) for c, t in used.items())
-    for config in sorted(used, key=lambda c: (-used[c], c)):  # rounded down
+    return {c: t * scale for c, t in used.items()}
+
+
+def solve_configurations(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
+    """Configurations and how often each is used; together they hold every piece of the histogram exactly once."""
+    left = Counter({n: c for n, c in counts.items() if c > 0})
+    plan: list[tuple[tuple[int, ...], int]] = []
+
+    def use(config: tuple[int, ...], most: int) -> int:
         each = Counter(config)
-        if (times := min(int(used[config] * scale), *(left[n] // k for n, k in each.items()))) > 0:
+        if (times := min(most, *(left[n] // k for n, k in each.items()))) > 0:
             plan.append((config, times))
             for n, k in each.items():
                 left[n] -= k * times
-    plan += _best_fit({n: c for n, c in left.items() if c > 0}, capacity)
-    plain = _best_fit({n: c for n, c in counts.items() if c > 0}, capacity)
-    return min(plan, plain, key=lambda p: sum(times for _, times in p))  # rounding may lose a little where counts are small
-
-
-def _best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Best fit, longest first, over lengths: each fill of a sequence is repeated as often as the counts allow."""
-    plan = []
-    lengths = sorted(counts)
-    while lengths:
-        config, room = [], capacity
-        spare = dict(counts)
-        while (k := bisect_left(lengths, room + 1)) and room > 0:
-            pick = next((n for n in reversed(lengths[:k]) if spare[n] > 0), None)
-            if pick is None:
-                break
-            config.append(pick)
-            spare[pick] -= 1
-            room -= pick
-        each = Counter(config)
-        times = min(counts[n] // k for n, k in each.items())
-        plan.append((tuple(config), times))
-        for n, k in each.items():
-            counts[n] -= k * times
-            if not counts[n]:
-                lengths.remove(n)
+        return times
+
+    if full := left.pop(capacity, 0):
+        plan.append(((capacity,), full))
+    while left := +left:
+        cover = fractional_cover(left, capacity, rounds)
+        order = sorted(cover, key=lambda c: (-cover[c], c))
+        whole = sum(use(config, int(cover[config])) for config in order)
+        rest = -(-sum(n * c for n, c in left.items()) // capacity)
+        if 4 * whole < rest:  # the largest pieces are the hardest to place later
+            some = -(-rest // 2)
+            for config in sorted(order, key=lambda c: (-c[0], -sum(c), -cover[c])):
+                if some > 0:
+                    some -= use(config, 1)
+        rounds = max(20, rounds // 4)
     return plan
 
 
