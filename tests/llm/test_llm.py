@@ -393,20 +393,23 @@ def test_jaccard(docs, none, n, percent, group):
     assert ngram_jaccard.jaccard_components(none, n, percent).count() == 0
 
 
-def test_jaccard_of_many_near_copies(spark):
+@pytest.mark.parametrize(("count", "group"), [(60, 7), (700, 500)])
+def test_jaccard_of_many_near_copies(spark, count, group):
+    """Also texts that share passages without being similar, so that one token stands in many unlike sets."""
     rng = random.Random(4)
     base = [f"w{k}" for k in range(60)]
     texts = []
-    for _ in range(60):
+    for k in range(count):
         t = base.copy()
-        for _ in range(rng.randint(0, 2)):
+        for _ in range(rng.randint(0, 3)):
             t[rng.randrange(60)] = f"v{rng.randrange(999)}"
-        texts.append(" ".join(t))
+        texts.append(" ".join(t if k % 5 else [*t[:30], *(f"u{rng.randrange(9999)}" for _ in range(30))]))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    got = by_id(ngram_jaccard.jaccard_components(df, 3, 90, group=7), "component_id")
+    got = by_id(ngram_jaccard.jaccard_components(df, 3, 90, group=group), "component_id")
     sets = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, w in enumerate(t.split() for t in texts)}
     roots = components(sets, lambda a, b: 100 * len(a & b) >= 90 * len(a | b))
     assert got == {i: (r,) for i, r in roots.items()}
+    assert 1 < len(set(roots.values())) < count
 
 
 def test_components(spark):
