@@ -2,7 +2,7 @@
 
 A token's probability is a mixture of maximum-likelihood estimates of all orders from the unigram to the `order`-gram,
 and of a uniform floor over the V known words and one unknown. The mixture weights depend on how often the context was
-seen (buckets by its magnitude) and are learned by expectation-maximisation on held-out counts: the counts of one fold
+seen (buckets by its magnitude), are shared out among the orders whose contexts were seen, and are learned by expectation-maximisation on held-out counts: the counts of one fold
 of the training documents, each with its own document's contribution deleted from the corpus counts.
 
 Tokens: words in lower-cased A-Z, then one end for each document. Counts cover every training document; they are made
@@ -78,9 +78,9 @@ class Tokens:
         return np.where(mine[at] == want, counts[at], 0) if len(mine) else np.zeros(0, np.int64)
 
 
-def estimates(tokens: Tokens, counts: list[np.ndarray], n_tokens: int, delete: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of each token's context, and its estimates by order 1 to n (0 where the context was not seen)."""
-    out, seen = [], np.zeros(len(tokens.at), np.int64)
+def estimates(tokens: Tokens, counts: list[np.ndarray], n_tokens: int, delete: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bucket of each token's context, its estimates by order 1 to n (0 where the context was not seen), and whether the contexts were seen."""
+    out, there, seen = [], [], np.zeros(len(tokens.at), np.int64)
     for k in range(1, len(counts) + 1):
         hit = counts[k - 1][tokens.place[k - 1]].astype(np.int64)
         if k == 1:
@@ -95,9 +95,10 @@ def estimates(tokens: Tokens, counts: list[np.ndarray], n_tokens: int, delete: b
             hit = hit - tokens.own(k, tokens.place[k - 1])
         hit = np.minimum(np.maximum(hit, 0), total)
         out.append(np.where(total > 0, hit / np.maximum(total, 1), 0.0))
+        there.append(total > 0)
         seen = total
     bucket = np.minimum(BUCKETS - 1, np.where(seen > 0, np.floor(np.log2(np.maximum(seen, 1))) + 1, 0)).astype(np.int64)
-    return bucket, np.array(out)
+    return bucket, np.array(out), np.array(there)
 
 
 def learn_weights(codes: np.ndarray, times: np.ndarray, order: int, rounds: int = 60) -> np.ndarray:
@@ -124,6 +125,8 @@ def learn_weights(codes: np.ndarray, times: np.ndarray, order: int, rounds: int
 
 def score_documents(docs: DataFrame, order: int = ORDER, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score, per_token (score by token)."""
+    if not 1 <= order <= 4:  # a histogram code has 63 bits: 12 for each order and the bucket
+        raise ValueError("order must be from 1 to 4")
     fold = fold_of(key, FOLDS)
     lanes = docs.select(key, text, F.when(fold == HELD_OUT, 2).when(fold == LEARN, 1).otherwise(0).alias("lane"))
     blocks = make_blocks(lanes, key, text, "lane")
@@ -146,7 +149,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, key: str = "doc_id", te
 
     def histogram(block, lane, data, replies):
         t = Tokens(open_block(data)[1], order, bits)
-        bucket, p = estimates(t, replies, n_tokens, delete=True)
+        bucket, p, _ = estimates(t, replies, n_tokens, delete=True)
         code = bucket
         for x in p:
             q = np.where(x > 0, np.round(_STEPS * np.log2(np.maximum(x * (known + 1), 1e-30))), _NONE - 100)
@@ -160,10 +163,11 @@ def score_documents(docs: DataFrame, order: int = ORDER, key: str = "doc_id", te
     def score(block, lane, data, replies):
         ids, texts = open_block(data)
         t = Tokens(texts, order, bits)
-        bucket, p = estimates(t, replies, n_tokens, delete=False)
-        mixed = weights[bucket, 0] / (known + 1)
-        for k, x in enumerate(p, 1):
-            mixed = mixed + weights[bucket, k] * x
+        bucket, p, there = estimates(t, replies, n_tokens, delete=False)
+        mixed, mass = weights[bucket, 0] / (known + 1), weights[bucket, 0]
+        for k, (x, some) in enumerate(zip(p, there), 1):
+            mixed, mass = mixed + weights[bucket, k] * x, mass + weights[bucket, k] * some
+        mixed = mixed / mass  # an order whose context was not seen has no say
         if not n_tokens:
             mixed = np.ones(len(mixed))
         c = replies[0][t.place[0]].astype(np.float64)
