@@ -4,6 +4,11 @@ A known word is scored by its log frequency in each language. A word never seen
 longest character n-grams of it that are known: 5 characters, then 4, 3, 2 and 1. A document's language is the one
 with the largest sum over its words.
 
+A word is a run of letters and the marks on them; numerals, be they letters in look, are none.
+
+Training counts words on the executors, over a sample that holds about `least` rows of each language besides the share
+that all have in `rows`; only words by language come to the driver.
+
 Defined results: null text, and text without a letter, give `und` with score 0. Without any training row every text
 gives `und`. Ties go to the language first in alphabetical order. Repeated rows are scored each by itself; a null
 doc_id is scored like any other; extra columns of the input are ignored. Texts are scored whole, of any length.
@@ -13,18 +18,39 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideflow.llm.common import Memo, bounded_sample, fold_of, map_rows, struct
+from tideflow.llm.common import Memo, beside, bounded_sample, fold_of, map_rows, struct
 
-WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
-#: The most rows the model is fitted on.
-TRAIN_ROWS = 4000
+#: About the most rows the model is fitted on, and besides the rows of each language that are drawn if it has them.
+TRAIN_ROWS, TRAIN_LEAST = 4000, 200
+
+
+def _class_of(kinds: str) -> str:
+    """The characters whose Unicode category begins with one of the letters, as ranges of a character class."""
+    out, first = [], None
+    for c in range(sys.maxunicode + 2):
+        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] in kinds
+        if inside and first is None:
+            first = c
+        elif not inside and first is not None:
+            out.append(f"\\U{first:08x}-\\U{c - 1:08x}")
+            first = None
+    return "".join(out)
+
+
+WORD = re.compile(f"[{_class_of('L')}][{_class_of('LM')}]*")
+
+
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall(text.lower()) if text else []
 
 
 @dataclass
@@ -39,7 +65,12 @@ class LanguageModel:
         """rows: (language, text)."""
         words: dict[str, Counter] = defaultdict(Counter)
         for lang, text in rows:
-            words[lang].update(WORD.findall((text or "").lower()))
+            words[lang].update(words_of(text))
+        return cls.of_counts(words, min_count)
+
+    @classmethod
+    def of_counts(cls, words: dict[str, Counter], min_count: int = 2) -> LanguageModel:
+        """words: how often each word stands in each language."""
         langs = sorted(words)
         total = Counter()
         for c in words.values():
@@ -75,7 +106,7 @@ class LanguageModel:
         langs = self.langs
 
         def score(text: str | None) -> tuple[str, float]:
-            found = WORD.findall(text.lower()) if text else ()
+            found = words_of(text)
             if not found or not langs:
                 return "und", 0.0
             sums = [math.fsum(x) for x in zip(*[memo[w] for w in found])]
@@ -87,27 +118,46 @@ class LanguageModel:
         return score
 
 
-def fit_language_model(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = TRAIN_ROWS) -> LanguageModel:
-    """Fit on a hash-chosen sample of at most about `rows` rows with a language."""
-    sample = bounded_sample(docs.where(F.col(lang).isNotNull()).select(key, lang, text), key, rows)
-    return LanguageModel.fit([(r[0], r[1]) for r in sample.select(lang, text).collect()])
+def fit_language_model(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = TRAIN_ROWS, least: int = TRAIN_LEAST) -> LanguageModel:
+    """Fit on a hash-chosen sample of about `rows` rows with a language, and about `least` of each language."""
+    sample = bounded_sample(docs.where(F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")), "key", rows, "lang", least)
+
+    def make():
+        def fn(langs, texts):
+            counts = Counter((x, w) for x, t in zip(langs, texts) for w in words_of(t))
+            empty = [(x, None, 0) for x in set(langs)]  # a language is known even if its texts have no word
+            return list(map(list, zip(*empty, *((x, w, n) for (x, w), n in counts.items())))) if langs else [[]] * 3
 
+        return fn
+
+    counted = map_rows(sample, ["lang", "text"], struct("lang string, word string, n long"), make).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words: dict[str, Counter] = defaultdict(Counter)
+    for x, w, n in counted.collect():
+        words[x].update({w: n} if w is not None else {})
+    return LanguageModel.of_counts({x: Counter(dict(sorted(c.items()))) for x, c in words.items()})
 
-def identify_language(docs: DataFrame, model: LanguageModel, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per document: the key, lang_pred and score."""
-    model_b = docs.sparkSession.sparkContext.broadcast(model)
 
+def _predictions(model_b):
     def make():
         score = model_b.value.scorer()
 
-        def fn(ids, texts):
+        def fn(texts):
             got = [score(t) for t in texts]
-            return [ids, [g[0] for g in got], [g[1] for g in got]]
+            return [[g[0] for g in got], [g[1] for g in got]]
 
         return fn
 
-    kind = docs.schema[key].dataType.simpleString()
-    return map_rows(docs, [key, text], struct(f"{key} {kind}, lang_pred string, score double"), make)
+    return make
+
+
+def identify_language(docs: DataFrame, model: LanguageModel, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row per document: the key, lang_pred and score."""
+    return with_language(docs.select(F.col(key), F.col(text).alias("text_")), model, "text_").drop("text_")
+
+
+def with_language(docs: DataFrame, model: LanguageModel, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The documents as they are, with the predicted language and its score in columns of these names."""
+    return beside(docs, [text], struct(f"`{names[0]}` string, `{names[1]}` double"), _predictions(docs.sparkSession.sparkContext.broadcast(model)))
 
 
 def held_out(key: str = "doc_id") -> F.Column:
