@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from tideflow.llm.common import Memo, bounded_sample, map_rows, struct
+from tideflow.llm.common import Memo, beside, bounded_sample, map_rows, struct
 
 BITS = 20
 #: The most labelled documents the model is fitted on.
@@ -32,6 +32,8 @@ TRAIN_ROWS = 8000
 GRADES = 3
 #: Words of so many letters or more also count by their first ones, for inflected forms too rare to be seen in training.
 STEM = 5
+#: A document is selected from this probability of the top grade on.
+LEAST_TAIL = 0.7
 _CORE = re.compile(r"[^\W\d_]+")
 _SHARES = (0.01, 0.05, 0.2, 0.5)
 
@@ -44,7 +46,7 @@ def _token(token: str) -> tuple[tuple[int, ...], str]:
     """A token's hashed words and first letters, and its shape: what is left without letters and digits, and whether it is in capitals."""
     found = _CORE.findall(token.lower())
     words = tuple([_hashed("w", w) for w in found] + [_hashed("p", w[:STEM]) for w in found if len(w) >= STEM])
-    rest = re.sub(r"\d+", "0", _CORE.sub("", token))[:8]
+    rest = re.sub(r"\d+", "0", _CORE.sub("", token))
     return words, rest + ("^" if len(token) > 3 and token.isupper() else "")
 
 
@@ -79,11 +81,15 @@ class OrdinalModel:
         self.cuts = np.arange(grades - 1) - (grades - 2) / 2
 
     def fit(self, rows: list[tuple[str | None, int]], steps: int = 1000, rate: float = 0.1, decay: float = 1e-4, min_docs: int = 5, least_chi2: float = 20.0) -> OrdinalModel:
-        """rows: (text, grade). Features that are independent of the grade (chi-squared below least_chi2, or in fewer than min_docs texts) get no weight; the others by full-batch Adam on the cumulative-link likelihood. The thresholds are a start and positive steps. A row counts by one over the root of its grade's share, and weights are held at zero or below."""
+        """rows: (text, grade)."""
+        make = Featurizer()
+        return self.fit_features([(make(t), g) for t, g in rows], steps, rate, decay, min_docs, least_chi2)
+
+    def fit_features(self, rows: list[tuple[set[int] | list[int], int]], steps: int = 1000, rate: float = 0.1, decay: float = 1e-4, min_docs: int = 5, least_chi2: float = 20.0) -> OrdinalModel:
+        """rows: (features, grade). Features that are independent of the grade (chi-squared below least_chi2, or in fewer than min_docs texts) get no weight; the others by full-batch Adam on the cumulative-link likelihood. The thresholds are a start and positive steps. A row counts by one over the root of its grade's share, and weights are held at zero or below."""
         if not rows:
             return self
-        make = Featurizer()
-        sets = [np.fromiter(s, np.int64, len(s)) for s in (make(t) for t, _ in rows)]
+        sets = [np.fromiter(s, np.int64, len(s)) for s, _ in rows]
         y, n, k = np.array([g for _, g in rows]), len(rows), len(self.cuts)
         by_grade = np.array([np.bincount(np.concatenate([*(s for s, g in zip(sets, y) if g == grade), np.zeros(0, np.int64)]), minlength=1 << BITS) for grade in range(k + 1)])
         seen, share = by_grade.sum(0), np.bincount(y, minlength=k + 1)[:, None] / n
@@ -134,25 +140,35 @@ def grade() -> F.Column:
 
 
 def fit_quality_classifier(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> OrdinalModel:
-    """Fit on at most about `rows` of the documents in labels(doc_id, quality, toxic); of repeated labels the lowest grade counts."""
+    """Fit on at most about `rows` of the documents in labels(doc_id, quality, toxic); of repeated labels the lowest grade counts. Only hashed features come to the driver."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min(grade()).alias("grade"))
     some = bounded_sample(known, "doc_id", rows)
-    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "grade").collect()
-    return OrdinalModel().fit(sorted(((r[0], r[1]) for r in got), key=lambda r: (r[1], r[0] or "")))
+    drawn = docs.select("doc_id", "text").join(some, "doc_id").select("text", "grade")
+
+    def make():
+        feats = Featurizer()
+        return lambda texts, grades: [[sorted(feats(t)) for t in texts], grades]
+
+    got = map_rows(drawn, ["text", "grade"], struct("feats array<int>, grade int"), make).collect()
+    return OrdinalModel().fit_features(sorted(((r.feats, r.grade) for r in got), key=lambda r: (r[1], r[0])))
 
 
-def classify_quality(docs: DataFrame, model: OrdinalModel, least_tail: float = 0.7) -> DataFrame:
+def classify_quality(docs: DataFrame, model: OrdinalModel, least_tail: float = LEAST_TAIL, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: the key, expected_grade, tail_probability of the top grade, and whether it is selected."""
+    return with_quality(docs.select(F.col(key), F.col(text).alias("text_")), model, least_tail, "text_").drop("text_")
+
+
+def with_quality(docs: DataFrame, model: OrdinalModel, least_tail: float = LEAST_TAIL, text: str = "text", names: tuple[str, str, str] = ("expected_grade", "tail_probability", "selected")) -> DataFrame:
+    """The documents as they are, with expected grade, tail probability and selection in columns of these names."""
     model_b = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         m, feats = model_b.value, Featurizer()
 
-        def fn(ids, texts):
+        def fn(texts):
             tails = [m.tails(float(m.weights[list(feats(t))].sum())) for t in texts]
-            return [ids, [sum(x) for x in tails], [x[-1] for x in tails], [x[-1] >= least_tail for x in tails]]
+            return [[sum(x) for x in tails], [x[-1] for x in tails], [x[-1] >= least_tail for x in tails]]
 
         return fn
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_rows(docs, ["doc_id", "text"], struct(f"doc_id {kind}, expected_grade double, tail_probability double, selected boolean"), make)
+    return beside(docs, [text], struct(f"`{names[0]}` double, `{names[1]}` double, `{names[2]}` boolean"), make)
