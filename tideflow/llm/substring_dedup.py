@@ -12,7 +12,8 @@ WINDOW words, and a second exchange finds which of them stands first.
 Windows are compared by a 96-bit hash of their words, of which the leading bits follow the size of the input.
 
 Defined results: null and empty texts have no word and lose none; texts shorter than a window lose nothing; repeated
-rows with one doc_id are ordered by the block that holds them. A null doc_id comes before all others. Extra columns
+rows with one doc_id, and those without, are ordered by the block that holds them. A null doc_id comes before all others;
+an id that is no integer is refused. Extra columns
 are ignored; texts are treated whole.
 """
 
@@ -25,6 +26,7 @@ from itertools import compress
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideflow.llm.blocks import Words, ask, bits_for, make_blocks, open_block, parts_for, squeeze, tell, totals, unsqueeze, windows
 from tideflow.llm.common import map_rows, materialise, struct
@@ -78,6 +80,8 @@ def _sha(words: list[bytes]) -> str:
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
     """One row per document: key, n_words, n_removed, kept_sha256 (of the kept words joined by one space), and, if asked for, text: as it was where nothing went, else the kept words joined by one space."""
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} must be an integer, as documents are ordered by it")
     with_texts = texts
     blocks = make_blocks(docs, key, text)
     n = totals(blocks)
