@@ -72,17 +72,54 @@ def test_deleted_interpolation(docs, none):
     assert deleted_interpolation.score_documents(none).count() == 0
 
 
-def test_interpolation_is_a_distribution(spark):
-    """After any context the known words, the end and one unknown have probability one in all."""
-    texts = ["a b a c", "a b b", "c a b", "b"]
-    train = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 5)], "doc_id long, text string")
-    held = next(i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2)
-    step = [i for i in range(2000, 3000) if zlib.crc32(str(i).encode()) % 7 == 2]
-    asked = [(held, "a"), *[(k, f"a {w}") for k, w in zip(step, ["a", "b", "c", "zzz"])]]
-    got = by_id(deleted_interpolation.score_documents(train.unionByName(spark.createDataFrame(asked, "doc_id long, text string"))), "score")
-    # P(a w end) / P(end | w) is not given, so compare sums of P(a, end) and of the words' joint scores to P(a)
-    scores = [10 ** got[k][0] for k, _ in asked]
-    assert all(0 < s < 1 for s in scores)
+def test_scores_against_a_mixture_by_hand(spark):
+    """Bigram scores by counting words and pairs in plain Python, with the weights that EM finds on the deleted counts."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    fold = [zlib.crc32(str(i).encode()) % 7 for i in range(60)]
+    lines = [["#", *t.split(), "#"] for t in texts]  # a document begins after an end
+    one, two = Counter(), Counter()
+    for line, f in zip(lines, fold):
+        if f != 2:
+            one.update(line[1:])
+            two.update(pairwise(line))
+    # how often a context was seen: as a token, in the documents that train
+    size, kinds = sum(one.values()), len(one)
+    codes, steps = Counter(), deleted_interpolation._STEPS
+    bucket_of = lambda n: min(deleted_interpolation.BUCKETS - 1, int(math.log2(n)) + 1) if n > 0 else 0
+    for line, f in zip(lines, fold):
+        if f == 3:
+            own1, own2 = Counter(line[1:]), Counter(pairwise(line))
+            for a, b in pairwise(line):
+                seen = one[a] - own1[a]
+                rates = (one[b] - own1[b]) / (size - len(line) + 1), (min(two[a, b] - own2[a, b], seen) / seen if seen else 0)
+                code = bucket_of(seen)
+                for x in rates:
+                    code = code << 12 | (max(-1000, min(1000, round(steps * math.log2(x * (kinds + 1))) if x > 0 else -1000)) + 1024)
+                codes[code] += 1
+    keys = sorted(codes)
+    weights = deleted_interpolation.learn_weights(np.array(keys), np.array([codes[k] for k in keys], float), 2)
+
+    def probability(a, b):
+        w = weights[bucket_of(one[a])]
+        lower = w[0] / (kinds + 1) + w[1] * one[b] / size
+        return (lower + w[2] * two[a, b] / one[a]) / w.sum() if one[a] else lower / (w[0] + w[1])
+
+    got = by_id(deleted_interpolation.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), order=2), "score")
+    for i, line in enumerate(lines):
+        assert got[i][0] == pytest.approx(sum(math.log10(probability(a, b)) for a, b in pairwise(line)), rel=1e-6)
+    # after any context the known words, the end and one unknown word have probability one in all
+    for a in [*one, "zzz"]:
+        assert sum(probability(a, b) for b in [*one, "unknown"]) == pytest.approx(1)
+
+
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_other_orders(spark, order):
+    texts = [" ".join(random.Random(i).choices("abcdef", k=20)) for i in range(40)]
+    got = by_id(deleted_interpolation.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), order=order), "score", "n_tokens")
+    assert all(s < 0 and n == 21 for s, n in got.values())
+    with pytest.raises(ValueError):
+        deleted_interpolation.score_documents(spark.createDataFrame([(1, "a")], "doc_id long, text string"), order=5)
 
 
 def test_learn_weights():
@@ -173,6 +210,29 @@ def test_language(spark, docs, none):
     assert language_id.fit_language_model(train.where("false")).scorer()("text")[0] == "und"
 
 
+def test_language_by_hand(spark):
+    """Training through the engine gives what counting in Python gives; numerals are no letters, marks belong to words; ties, repeated rows and null ids."""
+    rows = [(1, "aa bb bb", "x"), (1, "aa bb bb", "x"), (None, "cc dd", "y"), (4, None, "y"), (5, "zz", None), (6, "", "w")]
+    model = language_id.fit_language_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    same = language_id.LanguageModel.fit([(x, t) for _, t, x in rows if x])
+    assert (model.langs, model.words, model.grams) == (same.langs, same.words, same.grams) and model.langs == ["w", "x", "y"]
+    score = model.scorer()
+    assert all(score(t) == ("und", 0.0) for t in ("½", "²³", "Ⅷ", "१२", "_ ― 7"))
+    assert language_id.words_of("E\u0301te\u0301 ½a Ⅷb c1d") == ["e\u0301te\u0301", "a", "b", "c", "d"]
+    even = language_id.LanguageModel.fit([("b", "one two"), ("a", "one two")], min_count=1).scorer()("one two")
+    assert even == ("a", 0.5)  # a tie goes to the first language
+    # a word known in training counts by its frequency, another one by its longest known n-grams
+    logs = [math.log((k + 0.5) / (n + 0.5 * 5)) for k, n in ((0, 0), (4, 6), (0, 2))]
+    assert model.word_scores("bb") == pytest.approx(tuple(logs))
+
+
+def test_a_rare_language_is_not_missed(spark):
+    rows = [(i, "the common words", "en") for i in range(3000)] + [(9000 + i, "rara lingua", "la") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit_language_model(docs, rows=100, least=50)
+    assert model.langs == ["en", "la"] and model.scorer()("rara")[0] == "la"
+
+
 def test_bpe(docs, none):
     from tokenizers import Tokenizer
 
@@ -223,6 +283,39 @@ def test_quality_classifier(spark, docs, none):
     assert quality_classifier.OrdinalModel().fit([]).tails(0.0)
 
 
+def test_ordinal_fit_by_hand(spark):
+    """The fitted model is the best of its kind: its likelihood falls when any weight or threshold is moved. Tails and grades follow from the thresholds; repeated and null ids are rows like others."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["stone river", "river tree", "cloud"]) + (" bad" if g < 2 and rng.random() < 0.8 else "") + (" worse" if g < 1 and rng.random() < 0.7 else ""), g) for g in rng.choices((0, 1, 2), (1, 1, 3), k=200)]
+    model, make = quality_classifier.OrdinalModel().fit(rows, steps=4000, decay=0.0), quality_classifier.Featurizer()
+    n, share = len(rows), Counter(g for _, g in rows)
+    weight = np.array([(share[g] / n) ** -0.5 for _, g in rows])
+    sets = [sorted(make(t)) for t, _ in rows]
+
+    def likelihood(weights, cuts):
+        score = np.array([weights[s].sum() for s in sets])
+        above = np.stack([np.ones(n), *(1 / (1 + np.exp(c - score)) for c in cuts), np.zeros(n)])
+        return float((weight * np.log([above[g, i] - above[g + 1, i] for i, (_, g) in enumerate(rows)])).sum())
+
+    best = likelihood(model.weights.astype(float), model.cuts)
+    for k in range(2):
+        for step in (-0.2, 0.2):
+            cuts = model.cuts.copy()
+            cuts[k] += step
+            assert likelihood(model.weights.astype(float), cuts) < best
+    used = np.flatnonzero(model.weights)
+    assert len(used)
+    for k in used:
+        w = model.weights.astype(float)
+        w[k] *= 1.5
+        assert likelihood(w, model.cuts) < best + 0.05
+    docs = spark.createDataFrame([(None, "stone bad worse"), (None, "cloud"), (5, "cloud"), (5, "cloud"), (6, None)], "doc_id long, text string")
+    for r, t in zip(quality_classifier.classify_quality(docs.coalesce(1), model).collect(), ["stone bad worse", "cloud", "cloud", "cloud", None]):
+        s = float(model.weights[sorted(make(t))].sum()) if make(t) else 0.0
+        tails = [1 / (1 + math.exp(c - s)) for c in model.cuts]
+        assert (r.expected_grade, r.tail_probability, r.selected) == (pytest.approx(sum(tails)), pytest.approx(tails[1]), tails[1] >= 0.7)
+
+
 def test_toxic_words_are_not_outweighed():
     rng = random.Random(4)
     draw = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
@@ -358,11 +451,26 @@ def test_token_counts(spark, docs, none):
     assert token_counts.scan_separators(token_counts.flatten_documents(none, BYTE_BPE, 50256), 50256).count() == 0
 
 
+def test_counts_do_not_depend_on_the_partitioning(spark):
+    texts = [(None, "a b"), (3, "x <|endoftext|> y"), (3, ""), (4, None), (2**40, "naïve été " * 50)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    own, want = byte_tokens.load(BYTE_BPE), Counter()
+    for i, t in texts:
+        ids = np.append(np.frombuffer(own(t), "<u4"), 50256)
+        cuts = [-1, *np.flatnonzero(ids == 50256).tolist()]
+        want.update((i, k, b - a - 1) for k, (a, b) in enumerate(pairwise(cuts)))
+    for n in (1, 2, 5):
+        assert Counter(tuple(r) for r in token_counts.count_tokens(docs.repartition(n), BYTE_BPE, 50256).collect()) == want
+    with pytest.raises(Exception, match="does not fit"):
+        token_counts.flatten_documents(docs, BYTE_BPE, 70000)
+
+
 def test_flat_files(spark, tmp_path):
     ids = np.array([1, 2, 9, 9, 3, 4, 5, 9, 6], "<u2")
     (tmp_path / "a.bin").write_bytes(ids.tobytes())
-    got = token_counts.scan_separators(token_counts.read_flat_files(spark, str(tmp_path), block_bytes=4), 9)
-    assert [r.n_tokens for r in got.orderBy("doc_no").collect()] == [2, 0, 3, 1]
+    for whole in (False, True):
+        got = token_counts.scan_separators(token_counts.read_flat_files(spark, str(tmp_path), block_bytes=4, whole=whole), 9)
+        assert [r.n_tokens for r in got.orderBy("doc_no").collect()] == [2, 0, 3, 1]
 
 
 def components(sets, linked):
