@@ -3,6 +3,13 @@
 language ID (rejects texts without a language it is sure of) -> quality classifier (rejects low and toxic grades) ->
 n-gram Jaccard join (one document of each group stays: the one of the least doc_id) -> substring dedup (cuts repeated
 passages out of the texts) -> best-fit packing (token pieces placed in sequences).
+
+Defined results, for every stage: a row is a document by itself, whether its doc_id is null or stands in other rows
+too; columns beside those of the operators are passed on, whatever their names. A null or empty text has no language and
+goes at the first stage; given to the later stages it is kept. An empty table, and empty labels, give what the operators
+say: no rows, and a classifier that knows no grade and selects nothing below its threshold's share. Of documents in one
+group the least doc_id stays, one without an id only where no other has one; of rows that repeat id and text one stays.
+Passages are judged in the order of doc_id, rows without one last, repeated ids in the order of the rows.
 """
 
 from __future__ import annotations
@@ -13,37 +20,40 @@ from pyspark.sql import functions as F
 import tideflow.operators as op
 from tideflow.flow import flow
 from tideflow.llm import language_id, ngram_jaccard, packing, quality_classifier, substring_dedup
-from tideflow.llm.common import materialise
+from tideflow.llm.common import discard, materialise
 from tideflow.llm.queries import tokenizer_path
 
 #: A language is accepted from this score on.
 LEAST_LANGUAGE_SCORE = 0.5
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in kept; a row without an id can't be told apart and goes."""
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+def _free(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """Names like these that no column has."""
+    taken = {c.lower() for c in docs.columns}
+    return tuple(n if n not in taken else next(x for k in range(len(taken) + 1) if (x := f"{n}_{k}") not in taken) for n in names)
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """The rows with an id, and a column that tells them apart, ordered as doc_id: doc_id itself, or where ids repeat the row's place in their order."""
-    docs = docs.where("doc_id is not null")
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+    """The rows and a column that tells them apart, ordered as doc_id: doc_id itself, or where ids repeat or are null the row's place in their order, rows without an id last."""
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
         return docs, "doc_id"
-    rows = materialise(docs.withColumn("row_at", F.monotonically_increasing_id()))
-    places = op.with_index(flow(rows.select("doc_id", "row_at"), "doc_id", "row_at"), name="row_place").df.select("row_at", "row_place")
-    return materialise(rows.join(places, "row_at").drop("row_at")), "row_place"
+    at, place, none = _free(docs, "row_at", "row_place", "row_unnamed")
+    rows = materialise(docs.withColumn(at, F.monotonically_increasing_id()))
+    order = rows.select(at, "doc_id", F.col("doc_id").isNull().alias(none))
+    places = op.with_index(flow(order, none, "doc_id", at), name=place).df.select(at, place)
+    return materialise(rows.join(places, at).drop(at)), place
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = language_id.fit_language_model(docs)
-    found = language_id.identify_language(docs, model)
-    return _keep(docs, found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)))
+    lang, score = _free(docs, "lang_pred", "lang_score")
+    found = language_id.with_language(docs, language_id.fit_language_model(docs), names=(lang, score))
+    return found.where((F.col(lang) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    names = _free(docs, "expected_grade", "tail_probability", "selected")
     model = quality_classifier.fit_quality_classifier(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _keep(docs, quality_classifier.classify_quality(docs, model).where("selected"))
+    return quality_classifier.with_quality(docs, model, names=names).where(F.col(names[2])).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,11 +66,15 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated passages; a document of which nothing is left goes. n_chars follows the text."""
+    """Texts without their repeated passages; a document of which nothing is left goes. n_chars, if there, follows the text."""
     rows, key = _keyed(docs)
-    cut = substring_dedup.remove_repeats(rows, key=key).where("n_removed < n_words or n_words = 0").select(key, F.col("text").alias("cut"), "n_removed")
-    rest = rows.drop("text").join(cut, key).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("cut").cast("long")).otherwise(F.col("n_chars")))
-    return rest.withColumnRenamed("cut", "text").select(*docs.columns)
+    cut_text, gone = _free(rows, "cut_text", "cut_words")
+    cut = substring_dedup.remove_repeats(rows, key=key).where("n_removed < n_words or n_words = 0").select(key, F.col("text").alias(cut_text), F.col("n_removed").alias(gone))
+    rest = rows.join(cut, key)
+    changed = {"text": F.when(F.col(gone) > 0, F.col(cut_text)).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col(gone) > 0, F.length(cut_text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return rest.withColumns(changed).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,12 +89,15 @@ STAGES = [
     ("best-fit packing", packing_stage),
 ]
 
-#: No stage but the decisions' joins can be put in SQL: the tests hold run() against a brute-force version.
+#: No stage but the near-duplicate one can be put in SQL: tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
