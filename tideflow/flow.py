@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class OrderedFlow:
-    """Rows of df in ascending order of order_by, which should be unique within partition_by. Immutable and lazy, so it can be used any number of times."""
+    """Rows of df in ascending order of order_by, which should be unique within partition_by. Immutable, so it can be used any number of times; lazy, but for operators that need the position in a large flow without keys, which lay it out in a scratch table when they are called."""
 
     df: DataFrame
     order_by: tuple[str, ...]
@@ -49,7 +49,13 @@ class OrderedFlow:
         return lambda *args, **options: found(self, *args, **options)
 
 
+#: Column names that operators use between their steps; a flow can't begin with them.
+RESERVED = frozenset(("_flow_range", "_flow_row", "_idx", "_before", "_has", "_near", "_me", "_beyond", "_side", "_t", "_a", "_b", "_stop", "_gate", "_broken", "_size", "_all", "_rn", "_busy", "_closed", "_m", "_seen", "_key", "_new", "_next", "_none", "_turn", "_cell"))
+
+
 def flow(df: DataFrame, *order_by: str, partition_by: tuple[str, ...] | list[str] = ()) -> OrderedFlow:
+    if taken := RESERVED & {c.lower() for c in df.columns}:
+        raise ValueError(f"reserved column names: {', '.join(sorted(taken))}")
     return OrderedFlow(df, tuple(order_by), tuple(partition_by))
 
 

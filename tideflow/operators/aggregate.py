@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tideflow.flow import OrderedFlow
+from tideflow.operators.select import chance
 from tideflow.plans.fold import ordered_fold
-from tideflow.plans.ordered import clean, running
+from tideflow.plans.ordered import clean, running, running_by
 
 
 def scan(flow: OrderedFlow, name: str, kind: str, value: Column, seed=None) -> OrderedFlow:
@@ -49,14 +50,14 @@ def reduce_while(flow: OrderedFlow, name: str, kind: str, value: Column, go_on:
 
 
 def group_by(flow: OrderedFlow, *columns: str, name: str = "items") -> DataFrame:
-    """Rows of each key in order, as an array."""
+    """Rows of each key in order, as an array: a key's rows must fit a task, so for large keys use windows or running values."""
     rest = [c for c in flow.df.columns if c not in columns]
     ordered = [*flow.order_by, *[c for c in rest if c not in flow.order_by]]
     return flow.df.groupBy(*columns).agg(F.sort_array(F.collect_list(F.struct(*ordered))).alias(name))
 
 
 def to_map(flow: OrderedFlow, key: str, value: str, as_map: bool = False) -> DataFrame:
-    """The last value of each key."""
+    """The last value of each key; as_map: all in one map, for few keys."""
     last = flow.df.groupBy(key).agg(F.max_by(value, F.struct(*flow.order_by)).alias(value))
     return last.agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("map")) if as_map else last
 
@@ -67,14 +68,12 @@ def frequencies(flow: OrderedFlow, key: str | Column, name: str = "n", as_map: b
 
 
 def running_count_by(flow: OrderedFlow, *key: str, name: str = "n") -> OrderedFlow:
-    """Each row with how many of its key have come so far."""
-    frame = Window.partitionBy(*key).orderBy(*flow.order_by).rowsBetween(Window.unboundedPreceding, 0)
-    return flow.with_df(flow.df.withColumn(name, F.count("*").over(frame)))
+    """Each row with how many of its key have come so far. A key may hold any share of the rows."""
+    return flow.with_df(clean(running_by(flow, key, {name: ("count", F.lit(1))})))
 
 
 def running_sum_by(flow: OrderedFlow, *key: str, value: Column, name: str = "total") -> OrderedFlow:
-    frame = Window.partitionBy(*key).orderBy(*flow.order_by).rowsBetween(Window.unboundedPreceding, 0)
-    return flow.with_df(flow.df.withColumn(name, F.sum(value).over(frame)))
+    return flow.with_df(clean(running_by(flow, key, {name: ("sum", value)})))
 
 
 def running_frequencies(flow: OrderedFlow, key: str, values: list, name: str = "counts") -> OrderedFlow:
@@ -86,7 +85,7 @@ def running_frequencies(flow: OrderedFlow, key: str, values: list, name: str = "
 
 def take_random(flow: OrderedFlow, n: int, seed: int = 0, key: str | None = None) -> DataFrame:
     """A uniform sample of n rows (all, if fewer); by a hash of the key it is the same on every run."""
-    return flow.df.orderBy(F.xxhash64(F.lit(seed), key) if key else F.rand(seed), *flow.order_by).limit(max(0, n))
+    return flow.df.orderBy(chance(seed, key) if key else F.rand(seed), *flow.order_by).limit(max(0, n))
 
 
 def total(flow: OrderedFlow, value: Column, name: str = "total") -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
-from concurrent.futures import Future, ThreadPoolExecutor
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from tideflow.flow import OrderedFlow
+from tideflow.operators.effects import RunSummary, run
 
 Stage = Callable[[OrderedFlow], OrderedFlow]
 
@@ -28,7 +30,7 @@ def through(flow: OrderedFlow, stage: Stage) -> OrderedFlow:
 
 
 def or_else(primary: Stage, fallback: Stage) -> Stage:
-    """The fallback's rows where the primary fails or gives none."""
+    """The fallback's rows where the primary gives none, or fails in the engine; the failure is logged. Mistakes in the stage's own code are raised."""
     from tideflow.plans.scratch import written
 
     def either(flow: OrderedFlow) -> OrderedFlow:
@@ -37,8 +39,8 @@ def or_else(primary: Stage, fallback: Stage) -> Stage:
             kept = got.with_df(written(got.df))
             if not kept.df.isEmpty():
                 return kept
-        except Exception:
-            pass
+        except PySparkException as error:
+            logging.getLogger(__name__).warning("primary failed: %s", str(error).splitlines()[0])
         return fallback(flow)
 
     return either
@@ -69,7 +71,8 @@ def segment(name: str, stage: Stage, store: SnapshotStore | None = None) -> Stag
         spark = flow.df.sparkSession
         if store is not None and (kept := store.load(spark, name)) is not None:
             return flow.with_df(kept)
-        spark.sparkContext.setJobDescription(name)
+        outer = spark.sparkContext.getLocalProperty("spark.job.description")
+        spark.sparkContext.setJobDescription(f"{outer} / {name}" if outer else name)
         try:
             got = stage(flow)
             if store is None:
@@ -77,7 +80,7 @@ def segment(name: str, stage: Stage, store: SnapshotStore | None = None) -> Stag
             store.save(name, got.df)
             return got.with_df(store.load(spark, name))
         finally:
-            spark.sparkContext.setJobDescription(None)
+            spark.sparkContext.setJobDescription(outer)
 
     return named
 
@@ -88,19 +91,53 @@ def from_checkpoint(spark: SparkSession, store: SnapshotStore, name: str) -> Dat
     return kept
 
 
-def run_async(action: Callable[[], object]) -> Future:
-    pool = ThreadPoolExecutor(1)
-    try:
-        return pool.submit(action)
-    finally:
+class RunHandle:
+    """A run in the background: wait() for its summary and error, or look at them without waiting."""
+
+    def __init__(self, action: Callable[[], object], finalizers: list[Callable[[RunSummary], None]] = ()) -> None:
+        pool = ThreadPoolExecutor(1)
+        self.value: object = None
+
+        def keep() -> None:
+            self.value = action()
+
+        self._run = pool.submit(run, keep, (), list(finalizers))
         pool.shutdown(wait=False)
 
+    def done(self) -> bool:
+        return self._run.done()
+
+    def wait(self, timeout: float | None = None) -> tuple[RunSummary, str | None]:
+        summary = self._run.result(timeout)
+        return summary, summary.error
+
+    def err(self) -> str | None:
+        """The run's error; None while it goes on."""
+        return self._run.result().error if self.done() else None
+
+    def summary(self) -> RunSummary:
+        """The run's summary; an empty one while it goes on."""
+        return self._run.result() if self.done() else RunSummary("success")
+
+
+def run_async(action: Callable[[], object], finalizers: list[Callable[[RunSummary], None]] = ()) -> RunHandle:
+    return RunHandle(action, finalizers)
+
 
 def describe(df: DataFrame) -> list[dict[str, object]]:
-    """The plan's nodes, and whether each runs in the engine or in Python."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    nodes = [line.strip("+-: *()0123456789").split(" ")[0].split("(")[0] for line in plan.splitlines() if line.strip()]
-    return [{"node": n, "python": any(w in n for w in ("Python", "Pandas", "Arrow"))} for n in nodes if n]
+    """The plan's nodes from the root down: name, depth, and whether each runs in the engine or in Python."""
+    found = []
+
+    def walk(node, depth: int) -> None:
+        kind = node.getClass().getSimpleName()
+        found.append({"node": node.nodeName().split(" (")[0], "depth": depth, "python": "Python" in node.getClass().getName() or kind.startswith(("MapIn", "FlatMapGroupsIn", "FlatMapCoGroupsIn"))})
+        inner = node.inputPlan() if kind == "AdaptiveSparkPlanExec" else None
+        children = [inner] if inner is not None else [node.children().apply(i) for i in range(node.children().size())]
+        for child in children:
+            walk(child, depth + 1)
+
+    walk(df._jdf.queryExecution().executedPlan(), 0)
+    return found
 
 
 def is_native(df: DataFrame) -> bool:

@@ -4,46 +4,108 @@ from __future__ import annotations
 
 import time as clock
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideflow.flow import OrderedFlow
-from tideflow.functions.errors import HALT, OnError, RetryStrategy, exponential_backoff, fixed_backoff
+from tideflow.functions.errors import OnError, RetryStrategy, Supervision, error_strategy, exponential_backoff, fixed_backoff, within_seconds
 from tideflow.operators.select import _ddl
 from tideflow.plans.scratch import written
 
 
-def map_python(flow: OrderedFlow, fn: Callable[[Any], tuple], schema: str, on_error: OnError = HALT) -> DataFrame:
-    """An opaque function of a row, under an error policy, over Arrow batches. Prefer column expressions."""
-    out = T.StructType.fromDDL(schema)
+def map_python(flow: OrderedFlow, fn: Callable[[Any], tuple], schema: str, on_error: OnError | None = None, timeout: float | None = None, supervise: Supervision | None = None) -> DataFrame:
+    """An opaque function of a row, over Arrow batches, under an error policy (the run's, if none is named), with a deadline in seconds for each try, and with restarts. Prefer column expressions."""
+    out, policy = T.StructType.fromDDL(schema), error_strategy(on_error)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = lambda row: policy.run(fn, row, timeout)
+        if supervise is not None:
+            inner, watched = call, supervise.supervised(lambda row: inner(row))
+            call = lambda row: (lambda got: got[1] if got[0] else (False, None))(watched(row))
         for pdf in batches:
-            got = [on_error.run(fn, row) for row in pdf.itertuples(index=False)]
+            got = [call(row) for row in pdf.itertuples(index=False)]
             yield pd.DataFrame([r for ok, r in got if ok], columns=out.names)
 
     return flow.df.mapInPandas(run, out)
 
 
-def map_cached(flow: OrderedFlow, keys: list[str], compute: Callable[[DataFrame], DataFrame]) -> OrderedFlow:
-    """Memoised map: the distinct keys are computed once and joined back."""
-    return flow.with_df(flow.df.join(compute(flow.df.select(*keys).distinct()), keys))
+def map_cached(flow: OrderedFlow, keys: list[str], compute: Callable[[DataFrame], DataFrame], cache: CacheTable | None = None) -> OrderedFlow:
+    """Memoised map: the distinct keys, nulls among them, are computed once and joined back; rows whose key gives nothing get nulls. With a cache, keys that it holds are not computed, and what is computed is put there."""
+    distinct = flow.df.select(*keys).distinct()
+    if cache is None:
+        values = compute(distinct)
+    else:
+        held = cache.load(flow.df.sparkSession)
+        values = written(compute(_null_safe(distinct, held.select(*keys), keys, "left_anti") if held is not None else distinct))
+        cache.put(values)
+        if held is not None:
+            values = _null_safe(held, distinct, keys, "left_semi").unionByName(values)
+    return flow.with_df(_null_safe(flow.df, values, keys, "left"))
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join on keys that may be null; the right side's keys are dropped."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    joined = left.join(other, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], how)
+    return joined.drop(*[f"_r_{k}" for k in keys])
+
+
+@dataclass
+class CacheTable:
+    """The backend of map_cached: a folder of computed values by key, each alive for `ttl` seconds (for ever, if None) after it was put there; of several values of a key the last counts. clock: seconds since 1970, for tests."""
+
+    path: str
+    keys: tuple[str, ...]
+    ttl: float | None = None
+    clock: Callable[[], float] = clock.time
+
+    def load(self, spark: SparkSession) -> DataFrame | None:
+        try:
+            kept = spark.read.parquet(self.path)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        if self.ttl is not None:
+            kept = kept.where(F.col("_put_at") > self.clock() - self.ttl)
+        rest = [c for c in kept.columns if c not in (*self.keys, "_put_at")]
+        return kept.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), "_put_at").alias("_v")).select(*self.keys, *[F.col(f"_v.{c}").alias(c) for c in rest])
+
+    def put(self, values: DataFrame) -> None:
+        values.withColumn("_put_at", F.lit(float(self.clock()))).write.mode("append").parquet(self.path)
+
+
+_dry_run = False
+
+
+@contextmanager
+def dry_run() -> Iterator[None]:
+    """No effect is applied in flows that are built within the block, whatever their policies say."""
+    global _dry_run
+    before, _dry_run = _dry_run, True
+    try:
+        yield
+    finally:
+        _dry_run = before
 
 
 @dataclass(frozen=True)
 class EffectPolicy:
-    """required: a failure fails the run's outcome. attempts and backoff: inline retries. key: a column; a row whose key was applied before is not applied again (null or empty: never skipped). dry: nothing is applied."""
+    """required: a failure fails the run's outcome. attempts and backoff: inline retries. key: a column; a row whose key was applied before is not applied again (null or empty: never skipped). dry: nothing is applied. attempt_timeout: seconds that a try may take."""
 
     required: bool = True
     attempts: int = 1
     backoff: Callable[[int], float] = field(default=fixed_backoff(0))
     key: str | None = None
     dry: bool = False
+    attempt_timeout: float | None = None
 
 
 def best_effort(policy: EffectPolicy = EffectPolicy()) -> EffectPolicy:
@@ -66,15 +128,16 @@ def effect(flow: OrderedFlow, fn: Callable[[Any], Any], policy: EffectPolicy = E
     df = df.withColumnRenamed("_dup", "dup_")
     names = flow.df.columns
     out = T.StructType.fromDDL(f"{_ddl(flow.df)}, result string, err string, applied boolean, deduped boolean")
+    dry = policy.dry or _dry_run
 
     def attempt(row) -> tuple:
         if row.dup_:
             return None, None, False, True
-        if policy.dry:
+        if dry:
             return None, None, False, False
         for k in range(max(1, policy.attempts)):
             try:
-                result = fn(row)
+                result = within_seconds(fn, row, policy.attempt_timeout)
                 return None if result is None else str(result), None, True, False
             except Exception as error:
                 last = error
@@ -143,13 +206,40 @@ def tap(flow: OrderedFlow, name: str, **aggregates) -> tuple[OrderedFlow, Observ
 
 
 def catch(primary: Callable[[], DataFrame], fallback: Callable[[Exception], DataFrame]) -> DataFrame:
-    """The primary's rows, or the fallback's if it fails while it is run. The primary is written whole or not at all, so no partial rows come before the fallback."""
+    """The primary's rows, or the fallback's if it fails while it is run. A deviation: a distributed job has no defined rows "before" its error, so the primary is written whole or not at all, and none of its rows come before the fallback's. For rows that fail one by one see `catch_rows`."""
     try:
         return written(primary())
     except Exception as error:
         return fallback(error)
 
 
+def catch_rows(flow: OrderedFlow, fn: Callable[[Any], tuple], schema: str, fallback: Callable[[str], DataFrame]) -> DataFrame:
+    """What fn gives for the rows before the first one, in order, on which it fails, and then the rows of fallback(message); all of fn's rows if it never fails. Every row is tried once."""
+    fields = T.StructType.fromDDL(schema)
+    named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    order = [f"_o{k}" for k in range(len(flow.order_by))]
+    kept = flow.df.select(*[F.col(c).alias(o) for c, o in zip(flow.order_by, order)], F.struct("*").alias("_all"))
+    kinds = ", ".join(f"{o} {kept.schema[o].dataType.simpleString()}" for o in order)
+    out, places = T.StructType.fromDDL(f"{kinds}, {named}, _err string"), flow.order_by
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for row in pdf.itertuples(index=False):
+                at = tuple(getattr(row, c) for c in places)
+                try:
+                    rows.append((*at, *fn(row), None))
+                except Exception as error:
+                    rows.append((*at, *[None] * len(fields), str(error) or type(error).__name__))
+            yield pd.DataFrame(rows, columns=out.names)
+
+    tried = written(flow.df.mapInPandas(run, out))
+    first = tried.where("_err is not null").orderBy(*order).select(F.struct(*order).alias("_at"), "_err").limit(1)
+    if (failed := first.first()) is None:
+        return tried.select(*fields.names)
+    return tried.join(F.broadcast(first.select("_at")), how="cross").where(F.struct(*order) < F.col("_at")).select(*fields.names).unionByName(fallback(failed["_err"]))
+
+
 def tap_error(action: Callable[[], Any], watch: Callable[[Exception], None]) -> Any:
     try:
         return action()
@@ -179,4 +269,4 @@ def retry_run(action: Callable[[], Any], strategy: RetryStrategy) -> Any:
             clock.sleep(strategy.backoff(attempt - 1))
 
 
-__all__ = ["EffectPolicy", "RunSummary", "best_effort", "catch", "effect", "exponential_backoff", "finally_do", "fixed_backoff", "map_cached", "map_python", "outcome_of", "retry_run", "run", "run_outcomes", "tap", "tap_error", "try_effect"]
+__all__ = ["CacheTable", "EffectPolicy", "RunSummary", "best_effort", "catch", "catch_rows", "dry_run", "effect", "exponential_backoff", "finally_do", "fixed_backoff", "map_cached", "map_python", "outcome_of", "retry_run", "run", "run_outcomes", "tap", "tap_error", "try_effect"]

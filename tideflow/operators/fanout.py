@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,7 @@ def partition(flow: OrderedFlow, predicate: Column) -> tuple[OrderedFlow, Ordere
 
 
 def broadcast(flow: OrderedFlow, n: int) -> list[OrderedFlow]:
-    """n branches that compute the shared part once (kept in memory, spilled to disk)."""
+    """n branches that compute the shared part once (kept in memory, spilled to disk). release() of any branch's flow gives the memory back."""
     if n < 2:
         raise ValueError("at least two branches")
     shared = flow.with_df(flow.df.persist(StorageLevel.MEMORY_AND_DISK))
@@ -29,11 +30,26 @@ def broadcast(flow: OrderedFlow, n: int) -> list[OrderedFlow]:
 
 
 def share(flow: OrderedFlow) -> Callable[[], OrderedFlow]:
-    """A function that gives any number of branches of one shared computation."""
+    """A function that gives any number of branches of one shared computation; release() of one gives the memory back."""
     shared = flow.with_df(flow.df.persist(StorageLevel.MEMORY_AND_DISK))
     return lambda: shared
 
 
+def release(flow: OrderedFlow) -> None:
+    """The branches of broadcast or share are done."""
+    flow.df.unpersist()
+
+
+@contextmanager
+def shared(flow: OrderedFlow) -> Iterator[OrderedFlow]:
+    """One shared computation for the block, released at its end."""
+    kept = share(flow)()
+    try:
+        yield kept
+    finally:
+        release(kept)
+
+
 def balance(flow: OrderedFlow, n: int, name: str = "branch") -> OrderedFlow:
     """Round robin: the branch is the position modulo n."""
     if n < 2:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from collections import deque
+from functools import reduce as _fold
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideflow.flow import OrderedFlow
-from tideflow.plans.fold import ordered_fold
-from tideflow.plans.ordered import by_order, clean, indexed, neighbour, running
+from tideflow.plans.fold import ordered_beside
+from tideflow.plans.ordered import by_order, clean, indexed, neighbour
 
 
 def filter_rows(flow: OrderedFlow, predicate: Column) -> OrderedFlow:
@@ -40,16 +41,29 @@ def drop(flow: OrderedFlow, n: int) -> OrderedFlow:
 skip = drop
 
 
+def _first_failure(flow: OrderedFlow, predicate: Column) -> DataFrame:
+    """The order key of the first row for which the predicate is not true, by one aggregate (for each partition key, if there are keys)."""
+    broken = flow.df.where(~F.coalesce(predicate, F.lit(False)))
+    return broken.groupBy(*flow.partition_by).agg(F.min(F.struct(*flow.order_by)).alias("_stop"))
+
+
 def _until_false(flow: OrderedFlow, predicate: Column) -> DataFrame:
-    return running(flow, {"_broken": ("sum", (~F.coalesce(predicate, F.lit(False))).cast("long"))})
+    stops = _first_failure(flow, predicate)
+    if flow.partition_by:
+        stops = stops.withColumnsRenamed({k: f"_k_{k}" for k in flow.partition_by})
+        same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in flow.partition_by]
+        return flow.df.join(stops, _fold(lambda a, b: a & b, same), "left").drop(*[f"_k_{k}" for k in flow.partition_by])
+    return flow.df.join(F.broadcast(stops), how="cross")
 
 
 def take_while(flow: OrderedFlow, predicate: Column) -> OrderedFlow:
-    return flow.with_df(clean(_until_false(flow, predicate).where("_broken = 0").drop("_broken")))
+    """Rows before the first one for which the predicate is not true."""
+    return flow.with_df(_until_false(flow, predicate).where(F.col("_stop").isNull() | (F.struct(*flow.order_by) < F.col("_stop"))).drop("_stop"))
 
 
 def drop_while(flow: OrderedFlow, predicate: Column) -> OrderedFlow:
-    return flow.with_df(clean(_until_false(flow, predicate).where("_broken > 0").drop("_broken")))
+    """The first row for which the predicate is not true, and all after it."""
+    return flow.with_df(_until_false(flow, predicate).where(F.struct(*flow.order_by) >= F.col("_stop")).drop("_stop"))
 
 
 def drop_last(flow: OrderedFlow, n: int) -> OrderedFlow:
@@ -90,11 +104,16 @@ def drop_every(flow: OrderedFlow, n: int) -> OrderedFlow:
     return flow.with_df(clean(indexed(flow, "_idx").where(F.col("_idx") % n != 0).drop("_idx")))
 
 
+def chance(seed: int, key: str) -> Column:
+    """32 hexadecimal digits that every run and every engine draws alike for a key."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
+
+
 def random_sample(flow: OrderedFlow, rate: float, seed: int = 0, key: str | None = None) -> OrderedFlow:
     """Each row by itself with probability rate; by a hash of the key the choice is the same on every run."""
     if key is None:
         return flow.with_df(flow.df.sample(rate, seed) if rate < 1 else flow.df)
-    return flow.with_df(flow.df.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < int(rate * (1 << 30))))
+    return flow.with_df(flow.df.where(F.substring(chance(seed, key), 1, 8) < f"{int(rate * (1 << 32)):08x}") if rate < 1 else flow.df)
 
 
 def distinct_by(flow: OrderedFlow, *columns: str) -> OrderedFlow:
@@ -120,15 +139,14 @@ def dedupe(flow: OrderedFlow, key: str, window: int = 0, seen: DataFrame | None
     if window == 1:
         df = neighbour(flow, {"_before": F.col(key)}, has="_has")
         return flow.with_df(clean(df.where(~F.col("_has") | ~F.col(key).eqNullSafe(F.col("_before"))).drop("_before", "_has")))
-    names = flow.df.columns
-
     def step(last: deque, row):
         value = getattr(row, key)
-        if value not in last:
-            last.append(value)
-            yield tuple(getattr(row, c) for c in names)
+        if value in last:
+            return None
+        last.append(value)
+        return ()
 
-    return flow.with_df(ordered_fold(flow, lambda: deque(maxlen=window), step, _ddl(flow.df)))
+    return flow.with_df(ordered_beside(flow, lambda: deque(maxlen=window), step, "", [key]))
 
 
 def _ddl(df: DataFrame) -> str:
@@ -136,13 +154,17 @@ def _ddl(df: DataFrame) -> str:
 
 
 def ttl_dedupe(flow: OrderedFlow, key: str, time: str, ttl: int) -> OrderedFlow:
-    """A key passes again when more than ttl has gone by since it last passed. Per key a fold over its times, in the engine."""
-    order = [c for c in flow.order_by if c != time]
-    item = F.struct(F.col(time), *[F.col(c) for c in order], *[F.col(c) for c in flow.df.columns if c not in (time, *order)])
-    rows = flow.df.groupBy(key, *flow.partition_by).agg(F.sort_array(F.collect_list(item)).alias("_rows"))
-    kind = rows.schema["_rows"].dataType.simpleString()
-    kept = F.aggregate("_rows", F.expr(f"cast(array() as {kind})"), lambda acc, x: F.when((F.size(acc) == 0) | (F.element_at(acc, -1)[time] + ttl < x[time]), F.array_append(acc, x)).otherwise(acc))
-    return flow.with_df(rows.select(F.inline(kept)).select(*flow.df.columns))
+    """A key passes again when ttl or more has gone by since it last passed. Rows of a key are streamed in order; only key and time are read in Python."""
+
+    def step(last: list, row):
+        now = getattr(row, time)
+        if last and now - last[0] < ttl:
+            return None
+        last[:] = [now]
+        return ()
+
+    keyed = flow.keyed(*dict.fromkeys([*flow.partition_by, key]))
+    return flow.with_df(ordered_beside(keyed, list, step, "", [time]))
 
 
 class BloomSet:

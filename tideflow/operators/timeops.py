@@ -6,25 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideflow.flow import OrderedFlow
-from tideflow.operators.select import _ddl
-from tideflow.plans.fold import ordered_fold
+from tideflow.plans.fold import ordered_beside
 from tideflow.plans.ordered import clean, neighbour
 
 
 def _greedy(flow: OrderedFlow, time: str, busy: Column | int) -> OrderedFlow:
-    """Keep a row unless it comes within the busy time of the last one kept: a fold over each key's sorted rows, in the engine."""
-    order = [c for c in flow.order_by if c != time]
-    rest = [c for c in flow.df.columns if c not in (time, *order)]
-    item = F.struct(F.col(time), *[F.col(c) for c in order], *[F.col(c) for c in rest], (busy if isinstance(busy, Column) else F.lit(busy)).alias("_busy"))
-    rows = flow.df.groupBy(*flow.partition_by).agg(F.sort_array(F.collect_list(item)).alias("_rows"))
-    kind = rows.schema["_rows"].dataType.simpleString()
+    """Keep a row unless it comes within the busy time of the last one kept. Rows of a key are streamed in order; only the times are read in Python."""
+    busy_flow = flow.with_df(flow.df.withColumn("_busy", busy if isinstance(busy, Column) else F.lit(busy)))
 
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        return F.when((F.size(acc) == 0) | (last[time] + last["_busy"] <= x[time]), F.array_append(acc, x)).otherwise(acc)
+    def step(last: list, row):
+        now, until = getattr(row, time), row[-1]
+        if last and now < last[0]:
+            return None
+        last[:] = [now + until]
+        return ()
 
-    kept = F.aggregate("_rows", F.expr(f"cast(array() as {kind})"), step)
-    return flow.with_df(rows.select(F.inline(kept)).select(*flow.df.columns))
+    return flow.with_df(ordered_beside(busy_flow, list, step, "", [time, "_busy"]).drop("_busy"))
 
 
 def throttle(flow: OrderedFlow, time: str, window: int) -> OrderedFlow:
@@ -63,7 +60,6 @@ def rate_limit(flow: OrderedFlow, time: str, rate: float, burst: int = 1, mode:
     """Token bucket of `rate` rows a unit of time. drop: rows without a token go; wait: all stay, with `emit_at`."""
     if rate <= 0 or burst < 1 or mode not in ("drop", "wait"):
         raise ValueError("rate and burst must be positive, mode drop or wait")
-    names = flow.df.columns
     per = rate / unit
 
     def step(state, row):
@@ -71,27 +67,23 @@ def rate_limit(flow: OrderedFlow, time: str, rate: float, burst: int = 1, mode:
         if state["at"] is not None:
             state["tokens"] = min(burst, state["tokens"] + max(0.0, now - state["at"]) * per)
         state["at"] = now if state["at"] is None else max(now, state["at"])
-        if mode == "drop":
-            if state["tokens"] >= 1:
-                state["tokens"] -= 1
-                yield tuple(getattr(row, c) for c in names)
-        else:
-            state["tokens"] -= 1
-            wait = 0 if state["tokens"] >= 0 else -state["tokens"] / per
-            yield (*[getattr(row, c) for c in names], int(now + wait))
+        if mode == "drop" and state["tokens"] < 1:
+            return None
+        state["tokens"] -= 1
+        return () if mode == "drop" else (int(now + (0 if state["tokens"] >= 0 else -state["tokens"] / per)),)
 
-    schema = _ddl(flow.df) + (", emit_at bigint" if mode == "wait" else "")
-    return flow.with_df(ordered_fold(flow, lambda: {"tokens": float(burst), "at": None}, step, schema))
+    return flow.with_df(ordered_beside(flow, lambda: {"tokens": float(burst), "at": None}, step, "emit_at bigint" if mode == "wait" else "", [time]))
 
 
-def circuit_breaker(flow: OrderedFlow, time: str, ok: str, threshold: int = 5, cooldown: int = 10_000_000, probes: int = 1, name: str = "state") -> OrderedFlow:
-    """What a breaker makes of calls with a known result: `state` is the state met, `allowed` whether the call was made. It opens after so many failures in a row, half-opens after the cooldown, and closes after so many successes there."""
-    names = flow.df.columns
+def circuit_breaker(flow: OrderedFlow, time: str, ok: str, threshold: int = 5, cooldown: int = 10_000_000, probes: int = 1, half_open_timeout: int | None = None, name: str = "state") -> OrderedFlow:
+    """What a breaker makes of calls with a known result: `state` is the state met, `allowed` whether the call was made. It opens after so many failures in a row, half-opens after the cooldown, and closes after so many successes there; if those have not come within half_open_timeout, it opens again and the cooldown starts anew."""
 
     def step(s, row):
         now, good = getattr(row, time), bool(getattr(row, ok))
+        if s["state"] == "half-open" and half_open_timeout is not None and now - s["half"] >= half_open_timeout:
+            s.update(state="open", since=now, bad=0)
         if s["state"] == "open" and now - s["since"] >= cooldown:
-            s.update(state="half-open", good=0)
+            s.update(state="half-open", good=0, half=now)
         met = s["state"]
         if met != "open":
             if good:
@@ -103,9 +95,9 @@ def circuit_breaker(flow: OrderedFlow, time: str, ok: str, threshold: int = 5, c
                 s["bad"] += 1
                 if met == "half-open" or s["bad"] >= threshold:
                     s.update(state="open", since=now, bad=0)
-        yield (*[getattr(row, c) for c in names], met, met != "open")
+        return met, met != "open"
 
-    return flow.with_df(ordered_fold(flow, lambda: {"state": "closed", "bad": 0, "good": 0, "since": 0}, step, f"{_ddl(flow.df)}, {name} string, allowed boolean"))
+    return flow.with_df(ordered_beside(flow, lambda: {"state": "closed", "bad": 0, "good": 0, "since": 0, "half": 0}, step, f"{name} string, allowed boolean", [time, ok]))
 
 
 def micros(column: str) -> Column:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideflow.flow import OrderedFlow, column
 from tideflow.plans.ordered import clean, indexed, neighbour
@@ -37,15 +39,42 @@ def map_recover(flow: OrderedFlow, name: str, attempt: Column, recover: Column)
     return flow.with_df(flow.df.withColumn(name, F.coalesce(attempt, recover)))
 
 
-def map_batches(flow: OrderedFlow, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """An opaque function over Arrow batches; each batch may give any number of rows."""
+def map_batches(flow: OrderedFlow, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, size: int | None = None) -> DataFrame:
+    """An opaque function over batches; each batch may give any number of rows. size: so many rows of a task in each batch (its last may hold fewer); without it, as the engine cuts them."""
+    if size is not None and size <= 0:
+        raise ValueError("size must be positive")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from map(fn, batches)
+        if size is None:
+            yield from map(fn, batches)
+            return
+        held = None
+        for pdf in batches:
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            while len(held) >= size:
+                yield fn(held.iloc[:size].reset_index(drop=True))
+                held = held.iloc[size:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield fn(held)
 
     return flow.df.mapInPandas(run, schema)
 
 
+def map_pooled(flow: OrderedFlow, make: Callable[[], Any], fn: Callable[[Any, Any], tuple], schema: str, close: Callable[[Any], None] = lambda item: None) -> DataFrame:
+    """fn(resource, row) with a resource (a client, a buffer) that is made once in each task, used for all its rows and closed at its end."""
+    fields = T.StructType.fromDDL(schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        resource = make()
+        try:
+            for pdf in batches:
+                yield pd.DataFrame([fn(resource, row) for row in pdf.itertuples(index=False)], columns=fields.names)
+        finally:
+            close(resource)
+
+    return flow.df.mapInPandas(run, fields)
+
+
 def timestamp(flow: OrderedFlow, name: str = "observed_at", at: Column | str | None = None) -> OrderedFlow:
     """Tag rows with a time: an event-time column, or now."""
     return flow.with_df(flow.df.withColumn(name, F.current_timestamp() if at is None else column(at)))

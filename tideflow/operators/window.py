@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideflow.flow import OrderedFlow
-from tideflow.operators.select import _ddl
-from tideflow.plans.fold import ordered_fold
+from tideflow.plans.fold import ordered_beside
 from tideflow.plans.ordered import clean, indexed, neighbour, running
 
 
 def batch(flow: OrderedFlow, count: int | None = None, measure: Column | None = None, limit: float | None = None, every: int | None = None, time: str | None = None, drop_partial: bool = False, name: str = "batch") -> OrderedFlow:
-    """Number the batches. count: so many rows; measure and limit: until the sum reaches the limit; every and time: at ticks of a clock that starts with the flow. count and every may be combined; the clock is not reset by full batches."""
+    """Number the batches. count: so many rows; measure and limit: until the sum reaches the limit; every and time: at ticks of a clock that starts with the flow. Triggers may be combined: whichever comes first closes a batch; the clock is not reset by full batches. drop_partial leaves out the last batch if nothing but the end of the flow closed it."""
     if count is None and measure is None and every is None:
         raise ValueError("a batch needs a trigger")
     if measure is not None or (count is not None and every is not None):
@@ -32,30 +31,36 @@ def batch(flow: OrderedFlow, count: int | None = None, measure: Column | None =
 
 
 def _folded_batch(flow, count, measure, limit, every, time, drop_partial, name):
-    if drop_partial:
-        raise ValueError("drop_partial goes with count alone")
     if measure is not None and limit is None:
         raise ValueError("measure needs a limit")
-    df = flow.df.withColumn("_m", measure.cast("double") if measure is not None else F.lit(0.0))
-    names, measured = flow.df.columns, measure is not None
+    if every is not None and time is None:
+        raise ValueError("every needs a time column")
+    measured = measure is not None
+    df = flow.df.withColumn("_m", measure.cast("double") if measured else F.lit(0.0))
 
     def step(state, row):
-        now = getattr(row, time) if every is not None else None
         if every is not None:
+            now = getattr(row, time)
             if state["tick"] is None:
                 state["tick"] = now + every
-            while now >= state["tick"]:
-                state["tick"] += every
+            if now >= state["tick"]:
+                state["tick"] += every * ((now - state["tick"]) // every + 1)
                 if state["n"]:
                     state.update(batch=state["batch"] + 1, n=0, sum=0.0)
-        yield (*[getattr(row, c) for c in names], state["batch"])
+        batch = state["batch"]
         state["n"] += 1
-        state["sum"] += row.m_
-        if (count is not None and state["n"] >= count) or (measured and state["sum"] >= limit):
-            state.update(batch=state["batch"] + 1, n=0, sum=0.0)
-
-    folded = ordered_fold(flow.with_df(df.withColumnRenamed("_m", "m_")), lambda: {"batch": 0, "n": 0, "sum": 0.0, "tick": None}, step, f"{_ddl(flow.df)}, {name} bigint")
-    return flow.with_df(folded)
+        state["sum"] += row[-1]
+        closed = (count is not None and state["n"] >= count) or (measured and state["sum"] >= limit)
+        if closed:
+            state.update(batch=batch + 1, n=0, sum=0.0)
+        return batch, closed
+
+    folded = ordered_beside(flow.with_df(df), lambda: {"batch": 0, "n": 0, "sum": 0.0, "tick": None}, step, f"{name} bigint, _closed boolean", [*([time] if time else []), "_m"])
+    if drop_partial:  # only the end of the flow can cut a batch short; one that a tick flushed is whole
+        end = folded.groupBy(*flow.partition_by).agg(F.max(name).alias("_end"), F.max_by("_closed", F.struct(*flow.order_by)).alias("_whole"))
+        folded = folded.join(end, list(flow.partition_by)) if flow.partition_by else folded.join(F.broadcast(end), how="cross")
+        folded = folded.where((F.col(name) < F.col("_end")) | F.col("_whole")).drop("_end", "_whole")
+    return flow.with_df(folded.drop("_m", "_closed"))
 
 
 def buffer_with(flow: OrderedFlow, selector: OrderedFlow, time: str, name: str = "buffer") -> OrderedFlow:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import namedtuple
 from collections.abc import Callable, Iterator
+from itertools import islice
 from typing import TYPE_CHECKING, Any
 
 import pyarrow as pa
@@ -42,3 +43,37 @@ def ordered_fold(flow: OrderedFlow, start: Callable[[], Any], step: Callable[[An
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out)], schema=out)
 
     return dealt.mapInArrow(run, fields)
+
+
+def arrow_rows(rows: Iterator[tuple], fields: T.StructType, size: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Tuples as Arrow batches of at most `size` rows, so that a long run of them is never held."""
+    out, rows = to_arrow_schema(fields), iter(rows)
+    while held := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], f.type) for i, f in enumerate(out)], schema=out)
+
+
+def ordered_beside(flow: OrderedFlow, start: Callable[[], Any], step: Callable[[Any, Any], tuple | None], added: str, columns: list[str]) -> DataFrame:
+    """As ordered_fold, for steps that keep a row, with `added` columns, or let it go (None): only the named columns are read in Python, all others pass through as they came, in Arrow batches."""
+    keys, names = list(flow.partition_by), flow.df.columns
+    need = list(dict.fromkeys([*keys, *flow.order_by, *columns]))
+    more = T.StructType.fromDDL(added) if added else T.StructType([])
+    fields = T.StructType([*flow.df.schema.fields, *more.fields])
+    out, extra = to_arrow_schema(fields), to_arrow_schema(more)
+    dealt = (flow.df.repartition(*keys) if keys else flow.df.repartition(1)).sortWithinPartitions(*keys, *flow.order_by)
+    at, places = [names.index(c) for c in need], [need.index(k) for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = namedtuple("Row", need, rename=True)
+        state, current, begun = None, (), False
+        for batch in batches:
+            got = []
+            for values in zip(*(batch.column(i).to_pylist() for i in at)):
+                key = tuple(values[p] for p in places)
+                if not begun or key != current:
+                    state, current, begun = start(), key, True
+                got.append(step(state, shape(*values)))
+            kept = batch.filter(pa.array([g is not None for g in got], pa.bool_()))
+            got = [g for g in got if g is not None]
+            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) if c.type != f.type else c for c, f in zip(kept.columns, out)), *(pa.array([g[i] for g in got], f.type) for i, f in enumerate(extra))], schema=out)
+
+    return dealt.mapInArrow(run, fields)

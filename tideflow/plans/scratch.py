@@ -3,15 +3,24 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Scratch tables that this process has written and not yet deleted.
+_WRITTEN: list[str] = []
 
 
 def scratch_path(df: DataFrame) -> str:
-    """A new path in the shared checkpoint folder; only where that is unset (tests) in the machine's temp folder."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    """A new path in the shared checkpoint folder; only where that is unset and everything runs in one process (tests), in the machine's temp folder."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     return f"{base.rstrip('/')}/flow-{uuid.uuid4().hex}"
 
 
@@ -19,4 +28,14 @@ def written(df: DataFrame) -> DataFrame:
     """Write and read back: the lineage ends here, and a lost executor loses nothing."""
     path = scratch_path(df)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables that this process has written; for the end of a run, when no frame that reads them is used again. Returns how many there were."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 import tideflow.operators as op
 from tideflow import sources
 from tideflow.flow import OrderedFlow, flow
+from tideflow.functions.errors import DROP, retry, substitute
+from tideflow.plans.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,20 +118,23 @@ def start_end_with(spark, d):
     return op.concat(*some).select("src", "event_id")
 
 
-@query("SELECT CAST(-1 AS BIGINT) AS event_id")
+@query("SELECT CAST(-1 AS BIGINT) AS event_id UNION ALL SELECT event_id FROM events")
 def default_if_empty(spark, d):
-    f = flow(events(spark, d, "event_type = 'none'").select("event_id"), "event_id")
-    return op.default_if_empty(f, spark.range(1).select(F.lit(-1).cast("long").alias("event_id"))).df
+    """Of a flow without rows, and of one with all of them."""
+    minus = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"))
+    some = events(spark, d).df.select("event_id")
+    none, every = (op.default_if_empty(flow(df, "event_id"), minus) for df in (some.where("event_id < 0"), some))
+    return none.df.unionByName(every.df)
 
 
-@query("SELECT 'next' AS kind, event_id FROM events WHERE event_type = 'error' UNION ALL SELECT 'complete', NULL")
+@query("SELECT 'next' AS kind, event_id FROM events UNION ALL SELECT 'complete', NULL")
 def materialize(spark, d):
-    return op.materialize(events(spark, d, "event_type = 'error'")).select("kind", "event_id")
+    return op.materialize(events(spark, d)).select("kind", "event_id")
 
 
-@query("SELECT event_id FROM events WHERE event_type = 'error'")
+@query("SELECT event_id FROM events")
 def dematerialize(spark, d):
-    return op.dematerialize(op.materialize(events(spark, d, "event_type = 'error'"))).select("event_id")
+    return op.dematerialize(op.materialize(events(spark, d))).select("event_id")
 
 
 # --- selection
@@ -206,7 +211,7 @@ def drop_every(spark, d):
     return op.drop_every(events(spark, d), 10).select("event_id")
 
 
-@query()
+@query("SELECT event_id FROM events WHERE substr(md5('0:' || event_id), 1, 8) < '19999999'")
 def random_sample(spark, d):
     return op.random_sample(events(spark, d), 0.1, key="event_id").select("event_id")
 
@@ -226,9 +231,13 @@ def dedupe_consecutive(spark, d):
     return op.dedupe(events(spark, d), "event_type", window=1).select("event_id")
 
 
-@query()
+#: each user's events numbered by k, for folds as recursive queries
+R = E + ", r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM e)"
+
+
+@query(R + ", g AS (SELECT user_id, k, event_id, [event_type] AS kept, true AS passed FROM r WHERE k = 1 UNION ALL SELECT r.user_id, r.k, r.event_id, CASE WHEN list_contains(g.kept, r.event_type) THEN g.kept ELSE list_append(g.kept, r.event_type)[-3:] END, NOT list_contains(g.kept, r.event_type) FROM g JOIN r ON r.user_id = g.user_id AND r.k = g.k + 1) SELECT event_id FROM g WHERE passed")
 def dedupe_window(spark, d):
-    return op.dedupe(flow(events(spark, d).select("t", "event_id", "event_type"), "t", "event_id"), "event_type", window=3).select("event_id")
+    return op.dedupe(users(spark, d), "event_type", window=3).select("event_id")
 
 
 @query(E + "SELECT event_id FROM e WHERE user_id NOT IN (SELECT user_id FROM e WHERE event_type = 'error') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) = 1")
@@ -236,7 +245,7 @@ def dedupe_external(spark, d):
     return op.dedupe(events(spark, d), "user_id", seen=events(spark, d, "event_type = 'error'").select("user_id")).select("event_id")
 
 
-@query(N + ", r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM n), g AS (SELECT user_id, k, t, event_id, t AS passed FROM r WHERE k = 1 UNION ALL SELECT r.user_id, r.k, r.t, r.event_id, CASE WHEN r.t - g.passed > 43200000000 THEN r.t ELSE g.passed END FROM g JOIN r ON r.user_id = g.user_id AND r.k = g.k + 1) SELECT event_id FROM g WHERE passed = t")
+@query(N + ", r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM n), g AS (SELECT user_id, k, t, event_id, t AS passed FROM r WHERE k = 1 UNION ALL SELECT r.user_id, r.k, r.t, r.event_id, CASE WHEN r.t - g.passed >= 43200000000 THEN r.t ELSE g.passed END FROM g JOIN r ON r.user_id = g.user_id AND r.k = g.k + 1) SELECT event_id FROM g WHERE passed = t")
 def ttl_dedupe(spark, d):
     return op.ttl_dedupe(flow(events(spark, d).select("t", "event_id", "user_id"), "t", "event_id"), "user_id", "t", 12 * HOUR).select("event_id")
 
@@ -291,9 +300,9 @@ def running_count_by(spark, d):
     return op.running_count_by(events(spark, d), "event_type").select("event_id", "n")
 
 
-@query(E + "SELECT event_id, user_id, CAST(sum(CAST(floor(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM e WHERE event_type = 'purchase'")
+@query(E + "SELECT event_id, user_id, CAST(sum(CAST(floor(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM e")
 def running_sum_by(spark, d):
-    return op.running_sum_by(events(spark, d, "event_type = 'purchase'"), "user_id", value=cents()).select("event_id", "user_id", "total")
+    return op.running_sum_by(events(spark, d), "user_id", value=cents()).select("event_id", "user_id", "total")
 
 
 _KINDS = ["signup", "purchase", "error", "view", "click"]
@@ -346,7 +355,7 @@ def find(spark, d):
     return op.find(events(spark, d), F.col("event_type") == "error").select("event_id")
 
 
-@query()
+@query("SELECT event_id FROM events ORDER BY md5('0:' || event_id), ts, event_id LIMIT 50")
 def take_random(spark, d):
     return op.take_random(events(spark, d), 50, key="event_id").select("event_id")
 
@@ -485,10 +494,9 @@ def balance(spark, d):
     return op.balance(events(spark, d), 3).select("event_id", "branch")
 
 
-@query("SELECT count(*) AS users FROM (SELECT DISTINCT user_id FROM events)")
+@query("SELECT event_id, CAST(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(CAST(user_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))), lambda a, b: (xor(a, b) * 16777619) % 4294967296) % 4 AS INTEGER) AS branch FROM events")
 def keyed_balance(spark, d):
-    f = op.keyed_balance(events(spark, d), 4, "user_id").df
-    return f.select("user_id", "branch").distinct().agg(F.count("*").alias("users"))
+    return op.keyed_balance(events(spark, d), 4, "user_id").select("event_id", "branch")
 
 
 # --- expansion
@@ -524,12 +532,31 @@ def expand_map_tree(spark, d):
     return op.expand_map(spark.range(1, 2).select(F.col("id").alias("node")), edges, max_depth=6)
 
 
+_GRAPH = "WITH RECURSIVE x(parent, child) AS (SELECT p, c FROM (SELECT unnest(range(40)) AS p), (VALUES (1), (2), (3)) v(c0), LATERAL (SELECT (p * c0 + 1) % 40 AS c))"
+
+
+def _graph(spark):
+    """A graph with diamonds and cycles: from p to p + 1, 2 p + 1 and 3 p + 1 modulo 40."""
+    return spark.range(40).select(F.col("id").alias("parent"), F.explode(F.array(*[(F.col("id") * k + 1) % 40 for k in (1, 2, 3)])).alias("child"))
+
+
+@query(_GRAPH + ", g(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION ALL SELECT x.child, g.depth + 1 FROM g JOIN x ON x.parent = g.node WHERE g.depth < 4) SELECT node, depth FROM g")
+def expand_map_paths(spark, d):
+    """A row for every path: nodes are met again."""
+    return op.expand_map(spark.range(1, 2).select(F.col("id").alias("node")), _graph(spark), max_depth=4)
+
+
+@query(_GRAPH + ", g(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT x.child, g.depth + 1 FROM g JOIN x ON x.parent = g.node WHERE g.depth < 40) SELECT node, min(depth) AS depth FROM g GROUP BY node")
+def expand_map_visited(spark, d):
+    return op.expand_map(spark.range(1, 2).select(F.col("id").alias("node")), _graph(spark), visited_by=True)
+
+
 # --- sources
 
 
 @query("WITH RECURSIVE f(pos, a, b) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT pos + 1, b, a + b FROM f WHERE pos < 19) SELECT pos, a AS value FROM f")
 def unfold_fib(spark, d):
-    return sources.unfold(spark, "named_struct('a', 0L, 'b', 1L)", "s.a", "named_struct('a', s.b, 'b', s.a + s.b)", "true", 20).select("pos", "value")
+    return sources.unfold(spark, "named_struct('a', 0L, 'b', 1L)", "s.a", "named_struct('a', s.b, 'b', s.a + s.b)", "s.a < 6765").select("pos", "value")
 
 
 @query("SELECT range AS pos, CAST(2 ** range AS BIGINT) AS value FROM range(10)")
@@ -570,15 +597,33 @@ def sample(spark, d):
     return op.sample(events(spark, d), "t", DAY).select("tick", "event_id")
 
 
-@query()
+_TOKENS = "least(2.0::DOUBLE, g.tokens + CAST(greatest(0, r.t - g.t) AS DOUBLE) * (1::DOUBLE / 43200000000::DOUBLE))"
+
+
+@query(R + f", g AS (SELECT user_id, k, t, event_id, 1.0::DOUBLE AS tokens, true AS passed FROM r WHERE k = 1 UNION ALL SELECT r.user_id, r.k, r.t, r.event_id, {_TOKENS} - CASE WHEN {_TOKENS} >= 1 THEN 1 ELSE 0 END, {_TOKENS} >= 1 FROM g JOIN r ON r.user_id = g.user_id AND r.k = g.k + 1) SELECT event_id FROM g WHERE passed")
 def rate_limit_drop(spark, d):
-    return op.rate_limit(flow(events(spark, d).select("t", "event_id", "user_id"), "t", "event_id").keyed("user_id"), "t", 1, burst=2, unit=12 * HOUR).select("event_id")
+    return op.rate_limit(users(spark, d), "t", 1, burst=2, unit=12 * HOUR).select("event_id")
+
+
+@query(R + f", g AS (SELECT user_id, k, t, event_id, 1.0::DOUBLE AS tokens FROM r WHERE k = 1 UNION ALL SELECT r.user_id, r.k, r.t, r.event_id, {_TOKENS} - 1 FROM g JOIN r ON r.user_id = g.user_id AND r.k = g.k + 1) SELECT event_id, CAST(floor(CAST(t AS DOUBLE) + CASE WHEN tokens >= 0 THEN 0 ELSE -tokens / (1::DOUBLE / 43200000000::DOUBLE) END) AS BIGINT) AS emit_at FROM g")
+def rate_limit_wait(spark, d):
+    return op.rate_limit(users(spark, d), "t", 1, burst=2, mode="wait", unit=12 * HOUR).select("event_id", "emit_at")
 
 
-@query()
+@query(R + """, g AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, 'closed' AS met, 'closed' AS state, 0 AS bad, 0 AS good, CAST(0 AS BIGINT) AS since, CAST(0 AS BIGINT) AS half FROM r UNION ALL
+SELECT user_id, k, event_id, met,
+  CASE WHEN met = 'open' THEN met WHEN ok THEN CASE WHEN met = 'half-open' AND good1 + 1 >= 2 THEN 'closed' ELSE met END WHEN met = 'half-open' OR bad1 + 1 >= 2 THEN 'open' ELSE met END,
+  CASE WHEN met = 'open' THEN bad1 WHEN ok OR met = 'half-open' OR bad1 + 1 >= 2 THEN 0 ELSE bad1 + 1 END,
+  CASE WHEN met <> 'open' AND ok THEN good1 + 1 ELSE good1 END,
+  CASE WHEN met <> 'open' AND NOT ok AND (met = 'half-open' OR bad1 + 1 >= 2) THEN t ELSE since1 END, half1
+FROM (SELECT *, CASE WHEN probing THEN 'half-open' ELSE state1 END AS met, CASE WHEN probing THEN t ELSE half END AS half1, CASE WHEN probing THEN 0 ELSE good END AS good1
+  FROM (SELECT *, state1 = 'open' AND t - since1 >= 3600000000 AS probing
+    FROM (SELECT r.user_id, r.k, r.event_id, r.t, r.event_type NOT IN ('error', 'click') AS ok, g.half, g.good, CASE WHEN g.state = 'half-open' AND r.t - g.half >= 43200000000 THEN 'open' ELSE g.state END AS state1, CASE WHEN g.state = 'half-open' AND r.t - g.half >= 43200000000 THEN 0 ELSE g.bad END AS bad1, CASE WHEN g.state = 'half-open' AND r.t - g.half >= 43200000000 THEN r.t ELSE g.since END AS since1
+      FROM g JOIN r ON r.user_id = g.user_id AND r.k = g.k + 1)))) SELECT event_id, met AS state, met <> 'open' AS allowed FROM g WHERE k > 0""")
 def circuit_breaker(spark, d):
-    f = op.map_columns(flow(events(spark, d).select("t", "event_id", "event_type"), "t", "event_id"), ok=F.col("event_type") != "error").keyed("event_type")
-    return op.circuit_breaker(flow(f.df, "t", "event_id"), "t", "ok", threshold=2, cooldown=HOUR).select("event_id", "state", "allowed")
+    """Errors and clicks fail; a half-open breaker has half a day for two good calls."""
+    f = op.map_columns(users(spark, d), ok=~F.col("event_type").isin("error", "click"))
+    return op.circuit_breaker(f, "t", "ok", threshold=2, cooldown=HOUR, probes=2, half_open_timeout=12 * HOUR).select("event_id", "state", "allowed")
 
 
 # --- state
@@ -604,18 +649,230 @@ def key_ttl_reset(spark, d):
 # --- effects
 
 
-@query("SELECT event_id, CASE WHEN event_type <> 'error' THEN event_type END AS result, CASE WHEN event_type = 'error' THEN 'refused' END AS err, event_type <> 'error' AS applied FROM events WHERE event_id % 50 = 0")
+_OUTCOME = "SELECT event_id, CASE WHEN event_type <> 'error' THEN event_type END AS result, CASE WHEN event_type = 'error' THEN 'refused' END AS err, event_type <> 'error' AS applied FROM events"
+
+
+def _apply(row):
+    if row.event_type == "error":
+        raise ValueError("refused")
+    return row.event_type
+
+
+def _calls(spark, d):
+    return flow(events(spark, d).select("t", "event_id", "event_type"), "t", "event_id")
+
+
+@query(_OUTCOME)
 def effect_outcomes(spark, d):
-    def apply(row):
-        if row.event_type == "error":
-            raise ValueError("refused")
-        return row.event_type
+    return op.effect(_calls(spark, d), _apply).select("event_id", "result", "err", "applied")
+
+
+@query("SELECT event_id, event_type <> 'error' AS good FROM events")
+def try_effect(spark, d):
+    good, bad = op.try_effect(_calls(spark, d), _apply)
+    return good.select("event_id", F.lit(True).alias("good")).unionByName(bad.select("event_id", F.lit(False).alias("good")))
 
-    some = flow(events(spark, d, "event_id % 50 = 0").select("t", "event_id", "event_type"), "t", "event_id")
-    return op.effect(some, apply).select("event_id", "result", "err", "applied")
+
+@query(E + "SELECT event_id, first_value(event_id) OVER (PARTITION BY event_type ORDER BY t, event_id) <> event_id AS deduped FROM e")
+def effect_once_per_key(spark, d):
+    return op.effect(_calls(spark, d), lambda row: row.event_type, op.EffectPolicy(key="event_type")).select("event_id", "deduped")
+
+
+@query("SELECT event_id, CAST(NULL AS VARCHAR) AS result, false AS applied FROM events")
+def effect_dry_run(spark, d):
+    with op.dry_run():
+        return op.effect(_calls(spark, d), _apply).select("event_id", "result", "applied")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type <> 'error'")
+def on_error_drop(spark, d):
+    return op.map_python(_calls(spark, d), lambda row: (row.event_id, _apply(row)), "event_id long, event_type string", DROP)
+
+
+@query("SELECT CASE event_type WHEN 'error' THEN -1 ELSE event_id END AS event_id FROM events")
+def on_error_return(spark, d):
+    return op.map_python(_calls(spark, d), lambda row: (row.event_id, _apply(row))[:1], "event_id long", substitute((-1,)))
+
+
+@query("SELECT event_id FROM events")
+def on_error_retry(spark, d):
+    """Every second try of a task fails; one more try is always enough."""
+
+    def shaky(row, calls=[0]):  # noqa: B006  a counter of the task's own
+        calls[0] += 1
+        if calls[0] % 2:
+            raise ValueError("try again")
+        return (row.event_id,)
+
+    return op.map_python(_calls(spark, d), shaky, "event_id long", retry(1))
+
+
+@query("SELECT event_id, length(event_type) AS n FROM events")
+def map_cached(spark, d):
+    return op.map_cached(events(spark, d), ["event_type"], lambda keys: keys.withColumn("n", F.length("event_type").cast("long"))).select("event_id", "n")
+
+
+@query(E + ", f AS (SELECT min(t) AS stop FROM e WHERE event_type = 'error') SELECT event_id FROM e, f WHERE t < stop UNION ALL SELECT -1")
+def catch_rows(spark, d):
+    return op.catch_rows(_calls(spark, d), lambda row: (row.event_id, _apply(row))[:1], "event_id long", lambda error: spark.range(1).select(F.lit(-1).cast("long").alias("event_id")))
+
+
+@query("SELECT CAST(-1 AS BIGINT) AS event_id")
+def catch(spark, d):
+    return op.catch(lambda: events(spark, d).select(F.expr("IF(event_type = 'error', CAST(raise_error('refused') AS BIGINT), event_id)").alias("event_id")), lambda error: spark.range(1).select(F.lit(-1).cast("long").alias("event_id")))
 
 
 @query("SELECT user_id, count(*) AS effects, count(*) FILTER (event_type = 'error' AND value > 50) AS required_failures, count(*) FILTER (event_type = 'error' AND value <= 50) AS best_effort_failures, CASE WHEN bool_or(event_type = 'error' AND value > 50) THEN 'failure' WHEN bool_or(event_type = 'error') THEN 'partial_success' ELSE 'success' END AS outcome FROM events GROUP BY user_id")
 def run_outcome(spark, d):
     outcomes = events(spark, d).df.withColumn("err", F.when(F.col("event_type") == "error", "error")).withColumn("required", F.col("value") > 50)
     return op.run_outcomes(outcomes, "user_id")
+
+
+# --- more of sources, state and composition
+
+
+@query("SELECT 60000005 AS t")
+def timer(spark, d):
+    return sources.timer(spark, 5, MINUTE).select(F.col("t").cast("int").alias("t"))
+
+
+@query("SELECT range AS pos, 7 AS value FROM range(300)")
+def repeatedly(spark, d):
+    return sources.repeatedly(spark, F.lit(7), 300).select("pos", "value")
+
+
+@query("SELECT range AS pos, 'row ' || range AS value FROM range(40)")
+def from_slice(spark, d):
+    return sources.from_rows(spark, [f"row {k}" for k in range(40)], "value string").select("pos", "value")
+
+
+@query("SELECT p AS part, k AS pos, p * 1000 + k AS value FROM (SELECT CAST(range AS INTEGER) AS p FROM range(5)), (SELECT range AS k FROM range(200))")
+def generate_in_parts(spark, d):
+    return sources.generate_in_parts(spark, 5, lambda part: ((part * 1000 + k,) for k in range(200)), "value long").df
+
+
+@query("SELECT CAST(0 AS BIGINT) AS value WHERE false")
+def empty(spark, d):
+    return sources.empty(spark, "value long").select("value")
+
+
+@query("WITH RECURSIVE f(pos, a, b) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT pos + 1, b, a + b FROM f WHERE b < 1000) SELECT pos, a AS value FROM f")
+def unfold_until(spark, d):
+    return sources.unfold(spark, "named_struct('a', 0L, 'b', 1L)", "s.a", "named_struct('a', s.b, 'b', s.a + s.b)", "s.a < 1000").select("pos", "value")
+
+
+@query("SELECT event_id, event_type, CAST(NULL AS BIGINT) AS user_id FROM events UNION ALL SELECT event_id, NULL, user_id FROM events")
+def unzip(spark, d):
+    kinds, who = op.unzip(events(spark, d), ["event_type"], ["user_id"])
+    return kinds.select("event_id", "event_type").unionByName(who.select("event_id", "user_id"), allowMissingColumns=True)
+
+
+@query("SELECT CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events")
+def total(spark, d):
+    return op.total(events(spark, d), cents())
+
+
+@query("SELECT event_id FROM events ORDER BY ts, event_id LIMIT 1")
+def single(spark, d):
+    row = op.single(op.take(flow(events(spark, d).select("t", "event_id"), "t", "event_id"), 1))
+    return spark.createDataFrame([(row.event_id,)], "event_id long")
+
+
+@query(E + "SELECT DISTINCT user_id FROM e WHERE user_id NOT IN (SELECT user_id FROM e WHERE event_type = 'error' AND value > 50)")
+def bloom_reject(spark, d):
+    """At so small a rate of false positives the filter rejects what an exact set would."""
+    bloom = op.BloomSet(10_000, 1e-9)
+    bits = bloom.built(events(spark, d, "event_type = 'error' AND value > 50").df, "user_id")
+    return bloom.reject_seen(events(spark, d), bits, "user_id").select("user_id").distinct()
+
+
+@query(R + ", g AS (SELECT user_id, k, event_id, CAST(0 AS BIGINT) AS batch, 1 AS n, CAST(floor(value * 100) AS BIGINT) AS s FROM r WHERE k = 1 UNION ALL SELECT r.user_id, r.k, r.event_id, CASE WHEN g.n >= 5 OR g.s >= 20000 THEN g.batch + 1 ELSE g.batch END, CASE WHEN g.n >= 5 OR g.s >= 20000 THEN 1 ELSE g.n + 1 END, CASE WHEN g.n >= 5 OR g.s >= 20000 THEN 0 ELSE g.s END + CAST(floor(r.value * 100) AS BIGINT) FROM g JOIN r ON r.user_id = g.user_id AND r.k = g.k + 1), z AS (SELECT user_id, max(k) AS k FROM g GROUP BY user_id), y AS (SELECT g.user_id, g.batch FROM g JOIN z USING (user_id, k) WHERE g.n < 5 AND g.s < 20000) SELECT event_id, batch FROM g WHERE NOT EXISTS (SELECT 1 FROM y WHERE y.user_id = g.user_id AND y.batch = g.batch)")
+def batch_triggers(spark, d):
+    """Five rows or 200 in value, whichever comes first; the last batch goes if neither closed it."""
+    return op.batch(users(spark, d), count=5, measure=cents(), limit=20_000, drop_partial=True).select("event_id", "batch")
+
+
+@query(R + "SELECT user_id, event_id, k AS n FROM r WHERE k % 3 = 0")
+def flat_map_with_key(spark, d):
+    def third(ref, row):
+        if ref.update_and_get(lambda n: n + 1) % 3 == 0:
+            yield row.user_id, row.event_id, ref.get()
+
+    return op.flat_map_with_key(events(spark, d), "user_id", op.Key("seen", 0), third, "user_id long, event_id long, n long", columns=["event_id"])
+
+
+@query(N + "SELECT event_id, idx + 1 AS n FROM n WHERE (idx + 1) % 100 = 0")
+def flat_map_with(spark, d):
+    """One cell for the whole flow, so one task by nature."""
+
+    def hundredth(ref, row):
+        if ref.update_and_get(lambda n: n + 1) % 100 == 0:
+            yield row.event_id, ref.get()
+
+    return op.flat_map_with(events(spark, d), op.Key("seen", 0), hundredth, "event_id long, n long", columns=["event_id"])
+
+
+@query(E + ", i AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) > 43200000000 THEN 1 ELSE 0 END AS fresh FROM e), p AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS epoch FROM i) SELECT event_id, count(*) OVER (PARTITION BY user_id, epoch ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS n FROM p")
+def state_ttl(spark, d):
+    """A cell's value expires half a day after it was last written."""
+    return op.map_with_key(events(spark, d), "user_id", op.Key("seen", 0, ttl=12 * HOUR), lambda ref, row: (row.event_id, ref.update_and_get(lambda n: n + 1)), "event_id long, n long", "t", ["event_id"])
+
+
+@query(R + "SELECT event_id, k AS n FROM r")
+def with_store(spark, d):
+    """Two runs, the events before and after a time, over one store: the second goes on where the first ended."""
+    store = op.StateTable(scratch_path(spark.range(0)))
+    middle = events(spark, d).df.agg(F.expr("CAST(percentile(t, 0.5) AS BIGINT)").alias("m")).first()["m"]
+    count = lambda part: op.map_with_key(events(spark, d, part), "user_id", op.Key("seen", 0), lambda ref, row: (row.event_id, ref.update_and_get(lambda n: n + 1)), "event_id long, n long", columns=["event_id"], store=store)
+    return count(f"t < {middle}").unionByName(count(f"t >= {middle}"))
+
+
+@query("SELECT event_id, event_id * 10 AS v FROM events")
+def map_pooled(spark, d):
+    return op.map_pooled(flow(events(spark, d).select("event_id"), "event_id"), lambda: [10], lambda held, row: (row.event_id, row.event_id * held[0]), "event_id long, v long")
+
+
+@query("SELECT 'all' AS branch, count(*) AS n FROM events UNION ALL SELECT 'errors', count(*) FILTER (event_type = 'error') FROM events")
+def broadcast_branches(spark, d):
+    a, b = op.broadcast(events(spark, d), 2)
+    n, errors = op.run_all(lambda: a.df.count(), lambda: b.df.where("event_type = 'error'").count())
+    op.release(a)
+    return spark.createDataFrame([("all", n), ("errors", errors)], "branch string, n long")
+
+
+@query("SELECT event_id, upper(event_type) AS event_type FROM events WHERE value >= 50")
+def stages(spark, d):
+    """Two stages composed, of which the first is replayed from its snapshot."""
+    store = op.SnapshotStore(scratch_path(spark.range(0)))
+    high = op.segment("high", lambda f: op.filter_rows(f, F.col("value") >= 50), store)
+    both = op.then(high, lambda f: op.map_columns(f, event_type=F.upper("event_type")))
+    op.through(events(spark, d), both)
+    again = op.or_else(lambda f: op.ignore_elements(f), both)
+    return op.through(events(spark, d), again).select("event_id", "event_type")
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def files(spark, d):
+    """Through CSV and JSON lines and back."""
+    at = scratch_path(spark.range(0))
+    sources.write_csv(events(spark, d).select("event_id", "event_type", "value"), f"{at}/c")
+    sources.write_json(sources.read_csv(spark, f"{at}/c", "event_id long, event_type string, value double", header=True), f"{at}/j")
+    return sources.read_json(spark, f"{at}/j", "event_id long, event_type string, value double")
+
+
+@query("SELECT event_id, event_type FROM events")
+def register_source(spark, d):
+    """A source of one's own: a task for each kind of event, reading a table by its own means."""
+    import pyarrow.parquet as pq
+
+    rows = events(spark, d).df.select("event_id", "event_type")
+    at = scratch_path(rows)
+    rows.write.parquet(at)
+    place = at.removeprefix("file://").removeprefix("file:")
+
+    def read(options, kind):
+        table = pq.read_table(place, filters=[("event_type", "=", kind)])
+        yield from zip(table.column("event_id").to_pylist(), table.column("event_type").to_pylist())
+
+    sources.register_source(spark, "events_by_kind", "event_id long, event_type string", lambda options: list(_KINDS), read)
+    return spark.read.format("events_by_kind").load()

@@ -31,9 +31,24 @@ def from_iterable(spark: SparkSession, items: Iterable, schema: str, chunk: int
 
 
 def generate(spark: SparkSession, fn: Callable[[], Iterator], schema: str) -> OrderedFlow:
+    """What a function yields, in its order, run once on the driver."""
     return from_iterable(spark, fn(), schema)
 
 
+def generate_in_parts(spark: SparkSession, parts: int, fn: Callable[[int], Iterator[tuple]], schema: str) -> OrderedFlow:
+    """fn(part) yields the rows of each part; parts run on the executors. The order is by part, then as yielded."""
+    from tideflow.plans.fold import arrow_rows
+
+    fields = T.StructType.fromDDL(f"part int, pos long, {schema}")
+
+    def run(batches):
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                yield from arrow_rows(((int(part), k, *(r if isinstance(r, tuple) else (r,))) for k, r in enumerate(fn(part))), fields)
+
+    return OrderedFlow(spark.range(0, parts, 1, parts).mapInArrow(run, fields), ("part", "pos"))
+
+
 def empty(spark: SparkSession, schema: str) -> OrderedFlow:
     return from_rows(spark, [], schema)
 
@@ -50,15 +65,19 @@ def timer(spark: SparkSession, start: int, delay: int, name: str = "t") -> Order
     return ticker(spark, start, delay, 1, name)
 
 
-def unfold(spark: SparkSession, seed: str, emit: str, step: str, go_on: str, most: int = 100, name: str = "value") -> OrderedFlow:
-    """Recursive query over a state `s`: seed, what to emit, the next state and whether to go on, as SQL. A state that does not go on emits nothing."""
-    df = spark.sql(f"WITH RECURSIVE u(pos, s) AS (SELECT 0L, {seed} UNION ALL SELECT pos + 1, {step} FROM u WHERE pos < {most - 1} AND ({go_on})) SELECT pos, {emit} AS {name} FROM u WHERE {go_on}")
-    return OrderedFlow(df, ("pos",))
+def unfold(spark: SparkSession, seed: str, emit: str, step: str, go_on: str, most: int | None = 100, name: str = "value") -> OrderedFlow:
+    """Recursive query over a state `s`: seed, what to emit, the next state and whether to go on, as SQL. A state that does not go on emits nothing. If after `most` values it would still go on, the query fails when it is read: nothing is cut off in silence."""
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max(int(spark.conf.get("spark.sql.cteRecursionLevelLimit")), most + 2)))
+    states = f"WITH RECURSIVE u(pos, s) AS (SELECT 0L, {seed} UNION ALL SELECT pos + 1, {step} FROM u WHERE pos < {most} AND ({go_on}))"
+    ended = f"IF(pos < {most}, true, raise_error('unfold has not ended after {most} values') IS NULL)"
+    return OrderedFlow(spark.sql(f"{states} SELECT pos, {emit} AS {name} FROM u WHERE ({go_on}) AND {ended}"), ("pos",))
 
 
 def iterate(spark: SparkSession, seed: str, step: str, count: int, name: str = "value") -> OrderedFlow:
     """seed, f(seed), f(f(seed)), ...: so many values. step: SQL over s."""
-    return unfold(spark, seed, "s", step, "true", count, name)
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max(int(spark.conf.get("spark.sql.cteRecursionLevelLimit")), count + 2)))
+    df = spark.sql(f"WITH RECURSIVE u(pos, s) AS (SELECT 0L, {seed} UNION ALL SELECT pos + 1, {step} FROM u WHERE pos < {count - 1}) SELECT pos, s AS {name} FROM u")
+    return OrderedFlow(df, ("pos",))
 
 
 def repeatedly(spark: SparkSession, value: Column, count: int, name: str = "value") -> OrderedFlow:

@@ -10,10 +10,10 @@ import json
 import sqlite3
 from collections.abc import Callable, Iterator
 from contextlib import closing
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 
 def register_source(spark: SparkSession, name: str, schema: str, partitions: Callable[[dict], list], read: Callable[[dict, object], Iterator[tuple]]) -> None:
@@ -47,6 +47,63 @@ def register_source(spark: SparkSession, name: str, schema: str, partitions: Cal
     spark.dataSource.register(Source)
 
 
+def register_log(spark: SparkSession, name: str, schema: str, open_log: Callable[[dict], Any]) -> None:
+    """A partitioned log with offsets, as batch and as stream: spark.read or spark.readStream .format(name). open_log(options) gives, in the driver and in each task, an object with partitions() -> list of names, span(partition) -> (first offset, offset after the last) and read(partition, start, end) -> tuples. Each partition's range is read by its own task; a stream's offsets live in its checkpoint."""
+
+    class Part(InputPartition):
+        def __init__(self, value) -> None:
+            self.value = value
+
+    class Reader(DataSourceReader):
+        def __init__(self, options: dict) -> None:
+            self.options = options
+
+        def partitions(self):
+            log = open_log(self.options)
+            return [Part((p, *log.span(p))) for p in log.partitions()]
+
+        def read(self, partition):
+            yield from open_log(self.options).read(*partition.value)
+
+    class Stream(DataSourceStreamReader):
+        def __init__(self, options: dict) -> None:
+            self.options = options
+
+        def initialOffset(self):  # noqa: N802
+            log = open_log(self.options)
+            return {str(p): log.span(p)[0] for p in log.partitions()}
+
+        def latestOffset(self):  # noqa: N802
+            log = open_log(self.options)
+            return {str(p): log.span(p)[1] for p in log.partitions()}
+
+        def partitions(self, start: dict, end: dict):
+            names = {str(p): p for p in open_log(self.options).partitions()}
+            return [Part((names[p], start.get(p, 0), upto)) for p, upto in end.items() if upto > start.get(p, 0)]
+
+        def read(self, partition):
+            yield from open_log(self.options).read(*partition.value)
+
+        def commit(self, end: dict) -> None:
+            pass
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return schema
+
+        def reader(self, schema):
+            return Reader(dict(self.options))
+
+        def streamReader(self, schema):  # noqa: N802
+            return Stream(dict(self.options))
+
+    spark.dataSource.register(Source)
+
+
 def write_with(df: DataFrame, open_sink: Callable[[], object], send: Callable[[object, list], None], close: Callable[[object], None] = lambda sink: None, batch: int = 500) -> int:
     """Send rows in batches, one sink for each task; returns how many. At least once: a task that fails is run again."""
 
