@@ -489,7 +489,7 @@ def components(sets, linked):
     return {k: find(k) for k in sets}
 
 
-@pytest.mark.parametrize(("n", "percent", "group"), [(3, 90, 1500), (5, 80, 3)])
+@pytest.mark.parametrize(("n", "percent", "group"), [(3, 90, 256), (5, 80, 3)])
 def test_jaccard(docs, none, n, percent, group):
     got = by_id(ngram_jaccard.jaccard_components(docs, n, percent, group=group), "n_shingles", "component_id")
     sets = {}
@@ -501,7 +501,7 @@ def test_jaccard(docs, none, n, percent, group):
     assert ngram_jaccard.jaccard_components(none, n, percent).count() == 0
 
 
-@pytest.mark.parametrize(("count", "group"), [(60, 7), (700, 500)])
+@pytest.mark.parametrize(("count", "group"), [(60, 7), (700, 256)])
 def test_jaccard_of_many_near_copies(spark, count, group):
     """Also texts that share passages without being similar, so that one token stands in many unlike sets."""
     rng = random.Random(4)
