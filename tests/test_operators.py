@@ -103,15 +103,25 @@ def test_expand(spark):
     edges = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (2, 5), (5, 1)], "parent long, child long")
     roots = spark.createDataFrame([(1,)], "node long")
     order = lambda df: [r["node"] for r in df.orderBy("depth", "node").collect()]
-    assert order(op.expand_map(roots, edges)) == [1, 2, 3, 4, 5]
+    assert order(op.expand_map(roots, edges, visited_by=True)) == [1, 2, 3, 4, 5]
     assert order(op.expand_map(roots, edges, max_depth=1)) == [1, 2, 3]
     assert order(op.expand_map(roots, edges, max_items=2)) == [1, 2]
+    assert order(op.expand_map(roots, edges, max_items=7)) == [1, 2, 3, 4, 5, 1, 2]  # a cycle goes on until a bound
+    diamond = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (3, 4), (4, 5)], "parent long, child long")
+    assert order(op.expand_map(roots, diamond)) == [1, 2, 3, 4, 4, 5, 5]
+    assert order(op.expand_map(roots, diamond, visited_by=True)) == [1, 2, 3, 4, 5]
     assert order(op.expand_map(roots, edges, visited=spark.createDataFrame([(2,)], "node long"))) == [1, 3]
 
 
 def test_sources(spark):
     assert out(sources.unfold(spark, "named_struct('a', 0L, 'b', 1L)", "s.a", "named_struct('a', s.b, 'b', s.a + s.b)", "s.a < 14", 99)) == [0, 1, 1, 2, 3, 5, 8, 13]
     assert out(sources.iterate(spark, "1L", "s * 2", 5)) == [1, 2, 4, 8, 16]
+    assert out(sources.iterate(spark, "0L", "s + 1", 150)) == list(range(150))
+    with pytest.raises(Exception, match="has not ended after 6"):
+        out(sources.unfold(spark, "0L", "s", "s + 1", "s < 7", 6))
+    assert out(sources.unfold(spark, "0L", "s", "s + 1", "s < 6", 6)) == list(range(6))
+    parts = sources.generate_in_parts(spark, 3, lambda part: iter(range(part)), "value long")
+    assert out(parts) == [0, 0, 1]
     assert out(sources.cycle(spark, ["a", "b", "c"], 7)) == list("abcabca")
     with pytest.raises(ValueError):
         sources.cycle(spark, [], 1)
@@ -195,7 +205,20 @@ def test_composition(spark, tmp_path):
         op.from_checkpoint(spark, store, "none")
     other = op.or_else(lambda f: op.ignore_elements(f), lambda f: f)
     assert out(other(ints(spark, [4]))) == [4]
-    assert op.run_async(lambda: spark.range(4).count()).result(60) == 4
+    seen = []
+    handle = op.run_async(lambda: spark.range(4).count(), [seen.append])
+    summary, error = handle.wait(60)
+    assert (handle.value, summary.outcome, error, handle.done(), len(seen)) == (4, "success", None, True, 1)
+    failed = op.run_async(lambda: 1 / 0)
+    assert failed.wait(60)[0].outcome == "failure" and "ZeroDivisionError" in failed.err() and failed.summary().error
+    with pytest.raises(AttributeError):  # a mistake in the stage's own code is no failure of the engine
+        op.or_else(lambda f: f.nothing, lambda f: f)(ints(spark, [4]))
+    broken = op.or_else(lambda f: op.map_columns(f, value=F.raise_error(F.lit("x"))), lambda f: f)
+    assert out(broken(ints(spark, [4]))) == [4]
+    nested = op.segment("outer", op.segment("inner", lambda f: f))
+    nested(ints(spark, [1]))
+    assert spark.sparkContext.getLocalProperty("spark.job.description") is None
+    assert [n["python"] for n in op.describe(op.map_python(ints(spark, [1]), lambda r: (1,), "v long"))].count(True) == 1
     assert op.is_native(op.running_sum_by(ints(spark, [1]), "value", value=F.lit(1)).df)
     assert op.run_all(lambda: 1, lambda: 2) == [1, 2]
 
@@ -208,7 +231,24 @@ def test_state(spark):
     assert out(op.running_with_ttl(timed, "k", "value", 10, "n", "count", F.lit(1)), "n") == [1, 2, 1, 1]
 
 
+def test_state_between_runs(spark, tmp_path):
+    store, key = op.StateTable(f"{tmp_path}/state"), op.Key("n", 0)
+    run = lambda rows: sorted((r.k, r.n) for r in op.map_with_key(sources.from_rows(spark, rows, "k string"), "k", key, lambda ref, r: (r.k, ref.update_and_get(lambda n: n + 1)), "k string, n long", columns=["k"], store=store).collect())
+    assert run(["a", "b", "a"]) == [("a", 1), ("a", 2), ("b", 1)]
+    assert run(["c", "a"]) == [("a", 3), ("c", 1)]
+    assert run(["b"]) == [("b", 2)]  # kept through a run that did not meet it
+    whole = op.StateTable(f"{tmp_path}/whole")
+    total = lambda values: out(OrderedFlow(op.map_with(ints(spark, values), key, lambda ref, r: (r.pos, ref.update_and_get(lambda n: n + r.value)), "pos long, n long", store=whole), ("pos",)), "n")
+    assert total([1, 2]) == [1, 3] and total([10]) == [13]
+
+
 def test_time(spark):
+    twice = sources.from_rows(spark, [("a", 0), ("a", 9), ("a", 10), ("a", 20), ("b", 5)], "k string, value long")
+    assert out(op.ttl_dedupe(twice, "k", "value", 10)) == [0, 10, 20, 5]  # a key passes again at ttl itself
+    none = sources.from_rows(spark, [(None, 0), (None, 3)], "k string, value long")
+    assert out(op.ttl_dedupe(none, "k", "value", 10)) == [0]
+    slow = sources.from_rows(spark, [(0, False), (10, True), (40, True), (50, True), (51, True)], "value long, ok boolean")
+    assert out(op.circuit_breaker(slow, "value", "ok", threshold=1, cooldown=10, probes=2, half_open_timeout=20), "state") == ["closed", "half-open", "open", "half-open", "half-open"]
     f = sources.from_rows(spark, [0, 1, 5, 6, 20], "value long")
     assert out(op.throttle(f, "value", 5)) == [0, 5, 20]
     assert out(op.debounce(f, "value", 4)) == [1, 6, 20]
@@ -231,7 +271,87 @@ def test_combination(spark):
     assert sorted((r.value, r.n) for r in found.df.collect() if r.n) == [("x", 2)]
 
 
+def test_deadlines_supervision_and_defaults(spark, tmp_path):
+    import time
+
+    from tideflow.functions.errors import HALT, OnError, Supervision, set_error_strategy
+    from tideflow.testkit import TestClock, fail_at, fail_every, slowly
+
+    f = ints(spark, [1, 2, 3, 4])
+    keep = lambda r: (r.value,)
+    values = lambda df: sorted(r.v for r in df.collect())
+    late = lambda r: (time.sleep(5 if r.value == 3 else 0), (r.value,))[1]
+    assert values(op.map_python(f, late, "v long", DROP, timeout=0.5)) == [1, 2, 4]
+    assert OnError("substitute", (0,)).run(slowly(keep, 5), None, 0.05) == (True, (0,))
+    with pytest.raises(Exception, match="failed as asked"):
+        op.map_python(f, fail_at(keep, lambda r: r.value == 2), "v long").collect()
+    before = set_error_strategy(DROP)
+    try:
+        assert before == HALT and values(op.map_python(f, fail_at(keep, lambda r: r.value == 2), "v long")) == [1, 3, 4]
+    finally:
+        set_error_strategy(before)
+    one = f.with_df(f.df.coalesce(1))
+    assert values(op.map_python(one, fail_every(keep, 2), "v long", supervise=Supervision(2))) == [1, 3]
+    with pytest.raises(Exception, match="failed as asked"):
+        op.map_python(one, fail_every(keep, 2), "v long", supervise=Supervision(1)).collect()
+    assert values(op.map_python(one, fail_every(keep, 2), "v long", supervise=Supervision(skip=(ValueError,)))) == [1, 3]
+    slow = op.effect(f, slowly(keep, 5), op.EffectPolicy(attempt_timeout=0.05))
+    assert slow.df.where("err like 'took longer%'").count() == 4
+    with op.dry_run():
+        assert op.effect(f, keep).df.where("applied").count() == 0
+    now = TestClock(100.0)
+    cache, asked = op.CacheTable(f"{tmp_path}/cache", ("value",), ttl=10, clock=now), []
+
+    def compute(keys):
+        asked.append(sorted(r.value for r in keys.collect()))
+        return keys.withColumn("sq", F.col("value") * F.col("value"))
+
+    assert out(op.map_cached(ints(spark, [1, 2, 1]), ["value"], compute, cache), "sq") == [1, 4, 1]
+    assert out(op.map_cached(ints(spark, [2, 3]), ["value"], compute, cache), "sq") == [4, 9]
+    now.advance(11)
+    assert out(op.map_cached(ints(spark, [2]), ["value"], compute, cache), "sq") == [4]
+    assert asked == [[1, 2], [3], [2]]
+    sizes = op.map_batches(one, lambda pdf: pdf.assign(n=len(pdf))[["n"]], "n long", size=3)
+    assert sorted(r.n for r in sizes.collect()) == [1, 3, 3, 3]
+    caught = op.catch_rows(f, fail_at(keep, lambda r: r.value == 3), "v long", lambda error: spark.range(7, 8).selectExpr("id as v"))
+    assert values(caught) == [1, 2, 7]
+    with op.shared(f) as kept:
+        assert kept.df.is_cached
+    assert not kept.df.is_cached
+
+
+def test_hooks_and_latencies(spark):
+    from tideflow.functions.metrics import LatencyBuckets, LogHook, MetricsHook, MultiHook, watched_run
+    from tideflow.sources import prometheus_text, statsd_lines
+    from tideflow.testkit import RecordingHook, collect_rows, expect, expect_unordered
+
+    seen, said = RecordingHook(), []
+    both = MultiHook(LogHook(said.append), seen)
+    assert watched_run(spark.range(5), "count", lambda df: df.count(), both) == 5
+    with pytest.raises(Exception):
+        watched_run(spark.range(1).selectExpr("raise_error('no')"), "bad", lambda df: df.collect(), both)
+    assert seen.names() == ["on_start", "on_done", "on_start", "on_error"] and len(said) == 4
+    buckets = LatencyBuckets()
+    for ns in (50_000, 60_000, 300_000, 2_000_000, 9_000_000_000):
+        buckets.add(ns)
+    assert buckets.counts == [2, 1, 0, 1, 0, 0, 0, 0, 0, 0, 1]
+    assert buckets.percentile_ns(0.4) == 100_000 and buckets.percentile_ns(0.2) == 50_000 and buckets.percentile_ns(1.0) == 5_000_000_000
+    assert buckets.merge(buckets).mean_ns() == buckets.mean_ns() and LatencyBuckets().percentile_ns(0.5) == 0
+    hook = MetricsHook(spark)
+    op.map_python(ints(spark, range(20)), hook.timed("double", lambda r: (r.value * 2,)), "v long").collect()
+    got = hook.snapshot()["double"]
+    assert got.processed == 20 and sum(got.latency.counts) == 20 and '"processed": 20' in hook.to_json()
+    assert 'flow_processed_total{stage="double"} 20' in prometheus_text(hook.snapshot())
+    assert statsd_lines(hook.snapshot())[0] == "flow.processed:20|c|#stage:double"
+    f = ints(spark, [3, 1])
+    expect(f, [3, 1], "value")
+    expect_unordered(f, [1, 3], "value")
+    assert collect_rows(f) == [(0, 3), (1, 1)]
+
+
 def test_flow_checks(spark):
+    with pytest.raises(ValueError, match="reserved"):
+        flow(spark.range(1).withColumn("_idx", F.lit(1)), "id")
     with pytest.raises(ValueError):
         OrderedFlow(spark.range(1), ())
     with pytest.raises(ValueError):
@@ -269,12 +389,18 @@ def test_metrics(spark):
     df.collect()
     assert result().processed == 3
     assert percentiles(ints(spark, range(101)).df, "value", 0.5).first()["p50"] == 50
+    rows = sources.from_rows(spark, [1, None, 1, 3], "value long")
+    kept = op.map_cached(rows, ["value"], lambda keys: keys.where("value is null or value < 3").withColumn("sq", F.coalesce(F.col("value"), F.lit(-1))))
+    assert out(kept, "sq") == [1, -1, 1, None]  # null keys are keys; a key that gives nothing keeps its rows
     cached = op.map_cached(ints(spark, [1, 1, 2]), ["value"], lambda keys: keys.withColumn("sq", F.col("value") * F.col("value")))
     assert sorted(out(cached, "sq")) == [1, 1, 4]
 
 
-def test_many_ranges(spark):
+def test_many_ranges(spark, monkeypatch):
     """The prefix scans over more than one range: small data would otherwise be laid out as one."""
+    from tideflow.plans import ordered
+
+    monkeypatch.setattr(ordered, "ONE_RANGE", -1)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         values = [(i * 37) % 11 - 5 for i in range(40)]
@@ -282,6 +408,13 @@ def test_many_ranges(spark):
         from tideflow.plans.ordered import PID, placed
 
         assert placed(f).select(PID).distinct().count() > 1
+        hot = f.with_df(f.df.withColumn("k", F.when(F.col("pos") % 10 > 0, F.lit("hot"))))
+        want, seen = [], {}
+        for i in range(40):
+            k = i % 10 > 0
+            seen[k] = seen.get(k, 0) + 1
+            want.append(seen[k])
+        assert out(op.running_count_by(hot, "k"), "n") == want  # a hot key and a null one, over several ranges
         assert out(op.with_index(f), "idx") == list(range(40))
         assert out(op.scan(f, "s", "sum", F.col("value")), "s") == [sum(values[: i + 1]) for i in range(40)]
         assert out(op.scan(f, "s", "min", F.col("value")), "s") == [min(values[: i + 1]) for i in range(40)]

@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from tideflow.plans import ordered
 from tideflow.queries import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
@@ -30,6 +31,23 @@ def test_same_rows(spark, db, name):
     assert Counter(tuple(r[c] for c in columns) for r in got.collect()) == Counter(map(tuple, rows))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, str(DATA)).count() > 0
+#: Queries of flows without keys that need positions or running values.
+POSITIONAL = (
+    "balance", "batch_count", "buffer_with_signup", "chunk_by_type", "combine_latest", "debounce", "dematerialize", "drop_last", "intersperse", "latest_from", "pairwise",
+    "reduce_while", "running_count_by", "running_sum_by", "running_frequencies", "sample_with", "scan_running_value", "sliding_window", "with_index", "zip_flows",
+)
+
+
+@pytest.mark.parametrize("name", POSITIONAL)
+def test_same_rows_over_many_ranges(spark, db, name, monkeypatch):
+    """The plans of large flows: ranges, and prefix scans over them."""
+    monkeypatch.setattr(ordered, "ONE_RANGE", -1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        test_same_rows(spark, db, name)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
