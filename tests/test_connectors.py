@@ -1,15 +1,19 @@
 """Connectors against stand-ins of their services' clients. Stand-ins keep what they hold in files, as clients are made inside tasks."""
 
 import json
+import sys
 import uuid
 from collections import namedtuple
 from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
+from pyspark import cloudpickle
 
 from tideflow import sources, streaming
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks can't import this module
+
 Message = namedtuple("Message", "o k v")
 
 
