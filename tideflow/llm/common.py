@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Rows in one Arrow batch sent to Python. Documents may be long, so batches are kept short.
 ARROW_ROWS = 500
+#: Values of a column that a sample looks after one by one; their counts are broadcast.
+MOST_GROUPS = 10_000
 
 
 def session_of(df: DataFrame) -> SparkSession:
@@ -99,16 +101,16 @@ def fold_of(doc_id: str, parts: int) -> F.Column:
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int, by: str | None = None, least: int = 0) -> DataFrame:
-    """About `rows` rows of df, chosen by a hash of the key (of the whole row where the key is null): a fixed choice, independent of partitioning. All rows if there are fewer. With `by`, about `least` rows more of each of its values that has them, so that a rare one is not missed."""
+    """About `rows` rows of df, chosen by a hash of the key (of the whole row where the key is null): a fixed choice, independent of partitioning. All rows if there are fewer. With `by`, about `least` rows more of each of its values that has them, so that a rare one is not missed; only the MOST_GROUPS most frequent values are looked after so."""
     total = df.count()
     if total <= rows:
         return df
     place = F.pmod(F.xxhash64(F.lit(17), F.col(key), F.when(F.col(key).isNull(), F.xxhash64(*df.columns))), F.lit(1 << 30))
     if by is None:
         return df.where(place < int((1 << 30) * (rows / total)))
-    sizes = df.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_size"))
-    share = F.least(F.lit(1.0), F.lit(rows / total) + F.lit(float(least)) / F.col("_size"))
-    return df.join(sizes, df[by].eqNullSafe(F.col("_by"))).where(place < share * (1 << 30)).select(*df.columns)
+    sizes = df.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_size")).orderBy(F.desc("_size"), "_by").limit(MOST_GROUPS)
+    share = F.lit(rows / total) + F.coalesce(F.lit(float(least)) / F.col("_size"), F.lit(0.0))
+    return df.join(F.broadcast(sizes), df[by].eqNullSafe(F.col("_by")), "left").where(place < share * (1 << 30)).select(*df.columns)
 
 
 class Memo(dict):
