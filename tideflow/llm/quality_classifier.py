@@ -143,7 +143,7 @@ def fit_quality_classifier(docs: DataFrame, labels: DataFrame, rows: int = TRAIN
     """Fit on at most about `rows` of the documents in labels(doc_id, quality, toxic); of repeated labels the lowest grade counts. Only hashed features come to the driver."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min(grade()).alias("grade"))
     some = bounded_sample(known, "doc_id", rows)
-    drawn = docs.select("doc_id", "text").join(some, "doc_id").select("text", "grade")
+    drawn = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "grade")  # broadcast: about `rows` ids at most
 
     def make():
         feats = Featurizer()
