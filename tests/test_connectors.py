@@ -210,3 +210,120 @@ def test_publish(spark, tmp_path):
 
     assert sources.publish(spark.range(3).selectExpr("cast(id as string) v"), Topic, "t", "v") == 3
     assert sorted(Files(f"{tmp_path}/t").all().values()) == ["0", "1", "2"]
+
+
+class Subscription:
+    def __init__(self, path):
+        self.queue = Queue(path)
+
+    def pull(self, request):
+        got = self.queue.receive_message("", request["max_messages"], 1).get("Messages", [])
+        return SimpleNamespace(received_messages=[SimpleNamespace(ack_id=m["ReceiptHandle"], message=SimpleNamespace(message_id=m["MessageId"], data=m["Body"].encode())) for m in got])
+
+    def acknowledge(self, request):
+        self.queue.delete_message_batch("", [{"ReceiptHandle": r} for r in request["ack_ids"]])
+
+    def receive_messages(self, max_message_count, max_wait_time):
+        class Text(str):
+            message_id = "m"
+
+        got = self.queue.receive_message("", max_message_count, 1).get("Messages", [])
+        return [Text(m["Body"]) for m in got]
+
+    def complete_message(self, message):
+        pass
+
+    def send_messages(self, messages):
+        for m in messages:
+            self.queue.files.add(m)
+
+
+def test_subscriptions(spark, tmp_path):
+    make = lambda: Subscription(f"{tmp_path}/s")
+    bus = sources.ServiceBusQueue(make, make)
+    texts = spark.range(12).selectExpr("concat('m', id) as b").coalesce(1)
+    assert bus.send(texts, "b") == 12
+    got = sources.PubSubSubscription(make, "path").receive(spark, most=5)
+    assert got.count() == 5 and len(Queue(f"{tmp_path}/s").files.all()) == 7
+    assert bus.receive(spark).count() == 7
+
+
+class Stream:
+    """A log of one topic, as Pulsar and Event Hubs have it, and a database of notifications."""
+
+    def __init__(self, path):
+        self.files, self.at = Files(path), 0
+
+    def create_producer(self, topic):
+        return self
+
+    def send(self, body):
+        self.files.add(body.decode(), f"{len(self.files.all()):04}")
+
+    def create_reader(self, topic, start):
+        self.at = start
+        return self
+
+    def has_message_available(self):
+        return self.at < len(self.files.all())
+
+    def read_next(self):
+        self.at += 1
+        body = list(self.files.all().values())[self.at - 1].encode()
+        return SimpleNamespace(data=lambda: body)
+
+    def close(self):
+        pass
+
+    def get_partition_ids(self):
+        return ["0"]
+
+    def get_partition_properties(self, partition):
+        return {"beginning_sequence_number": 0, "last_enqueued_sequence_number": len(self.files.all()) - 1}
+
+    def receive(self, take, partition_id, starting_position, starting_position_inclusive, max_wait_time):
+        for k, body in enumerate(self.files.all().values()):
+            if k >= starting_position:
+                take(None, SimpleNamespace(sequence_number=k, body=[body.encode()]))
+
+    def execute(self, text):
+        assert text == "LISTEN c"
+
+    def notifies(self, timeout):
+        return iter([SimpleNamespace(channel="c", payload=p) for p in self.files.all().values()])
+
+
+def test_streams_of_servers(spark, tmp_path):
+    make = lambda: Stream(f"{tmp_path}/s")
+    pulsar = sources.PulsarTopic(make, "t")
+    assert pulsar.send(spark.range(4).selectExpr("cast(concat('m', id) as binary) b").coalesce(1), "b") == 4
+    assert [bytes(r.body) for r in pulsar.read(spark, 1).collect()] == [b"m1", b"m2", b"m3"]
+    hub = sources.EventHubLog(make)
+    sources.register_log(spark, "fake_hub", hub.SCHEMA, lambda options: hub)
+    assert [(r.sequence, bytes(r.body)) for r in spark.read.format("fake_hub").load().collect()] == [(k, f"m{k}".encode()) for k in range(4)]
+    assert [tuple(r) for r in sources.postgres_listen(spark, make, "c", 1).collect()] == [("c", f"m{k}") for k in range(4)]
+    calls = sources.read_calls(spark, ["a", "b"], lambda call: ((call, k) for k in range(10)), "call string, n int", "fake_calls", 3)
+    assert sorted(map(tuple, calls.collect())) == [(c, k) for c in "ab" for k in range(3)]
+
+
+def test_copy_and_export(spark, tmp_path):
+    class Database:
+        def __enter__(self):
+            return self
+
+        __exit__ = lambda self, *a: None
+        cursor = commit = close = lambda self: self
+
+        def copy(self, text):
+            assert text == "COPY t (id) FROM STDIN"
+            return self
+
+        def write_row(self, row):
+            Files(f"{tmp_path}/t").add(row)
+
+    assert sources.postgres_copy(spark.range(3), Database, "t") == 3
+    assert sorted(Files(f"{tmp_path}/t").all().values()) == [[0], [1], [2]]
+    told = []
+    meter = SimpleNamespace(create_counter=lambda name: SimpleNamespace(add=lambda n, tags: told.append((name, n, tags["stage"]))))
+    sources.export_otel({"s": SimpleNamespace(processed=3, errors=1)}, meter)
+    assert told == [("flow.processed", 3, "s"), ("flow.errors", 1, "s")]

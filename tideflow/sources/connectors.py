@@ -10,8 +10,11 @@ once: a task that is run again sends or takes again.
 from __future__ import annotations
 
 import json
+import queue
+import threading
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 from typing import Any
 
 import pyarrow as pa
@@ -90,6 +93,39 @@ class KinesisLog:
                 yield shard, r["SequenceNumber"], r["Data"]
 
 
+@dataclass(frozen=True)
+class EventHubLog:
+    """For register_log: rows (partition, sequence, body). client(): an azure.eventhub.EventHubConsumerClient."""
+
+    client: Client
+    SCHEMA = "partition string, sequence long, body binary"
+
+    def partitions(self) -> list[str]:
+        return sorted(self.client().get_partition_ids())
+
+    def span(self, partition: str) -> tuple[int, int]:
+        got = self.client().get_partition_properties(partition)
+        return got["beginning_sequence_number"], got["last_enqueued_sequence_number"] + 1
+
+    def read(self, partition: str, start: int, end: int) -> Iterator[tuple]:
+        client, events = self.client(), queue.Queue(1000)
+
+        def take(_, event) -> None:
+            if event is not None:
+                events.put(event)
+
+        threading.Thread(target=client.receive, args=(take,), kwargs={"partition_id": partition, "starting_position": start, "starting_position_inclusive": True, "max_wait_time": 5}, daemon=True).start()
+        try:
+            while start < end:
+                event = events.get(timeout=60)
+                if event.sequence_number >= end:
+                    return
+                yield partition, event.sequence_number, b"".join(event.body)
+                start = event.sequence_number + 1
+        finally:
+            client.close()
+
+
 def kafka_send(df: DataFrame, producer: Client, topic: str, key: str | None, value: str) -> int:
     """Rows to a topic. producer(): a confluent_kafka.Producer."""
 
@@ -189,6 +225,103 @@ class AmqpQueue:
         return write_with(df, self.connect, lambda channel, rows: [channel.basic_publish(exchange="", routing_key=self.queue, body=r[body]) for r in rows] and None)
 
 
+@dataclass(frozen=True)
+class PubSubSubscription:
+    """client(): a google.cloud.pubsub_v1.SubscriberClient; path: the subscription's."""
+
+    client: Client
+    path: str
+
+    def pull(self, n: int) -> list[tuple[str, tuple]]:
+        got = self.client().pull(request={"subscription": self.path, "max_messages": n})
+        return [(m.ack_id, (m.message.message_id, m.message.data)) for m in got.received_messages]
+
+    def acknowledge(self, receipts: list[str]) -> None:
+        self.client().acknowledge(request={"subscription": self.path, "ack_ids": receipts})
+
+    def receive(self, spark: SparkSession, readers: int = 1, most: int | None = None) -> DataFrame:
+        return receive(spark, self.pull, self.acknowledge, "id string, body binary", readers, most)
+
+
+@dataclass(frozen=True)
+class ServiceBusQueue:
+    """receiver(), sender(): those of an azure.servicebus client; message(body): its ServiceBusMessage."""
+
+    receiver: Client
+    sender: Client | None = None
+    message: Callable[[Any], Any] = lambda body: body
+
+    def receive(self, spark: SparkSession, readers: int = 1, most: int | None = None) -> DataFrame:
+        """A message is settled by the receiver that locked it, so it is completed once its batch has been taken over."""
+
+        def pull(n: int) -> list[tuple[Any, tuple]]:
+            receiver = self.receiver()
+            got = receiver.receive_messages(max_message_count=n, max_wait_time=5)
+            out = [(None, (str(m.message_id), str(m))) for m in got]
+            for m in got:
+                receiver.complete_message(m)
+            return out
+
+        return receive(spark, pull, lambda receipts: None, "id string, body string", readers, most)
+
+    def send(self, df: DataFrame, body: str) -> int:
+        return write_with(df, self.sender, lambda sender, rows: sender.send_messages([self.message(r[body]) for r in rows]))
+
+
+@dataclass(frozen=True)
+class PulsarTopic:
+    """client(): a pulsar.Client."""
+
+    client: Client
+    topic: str
+
+    def read(self, spark: SparkSession, start: Any, schema: str = "body binary", name: str = "pulsar_read") -> DataFrame:
+        """From a message id to the end there is now, by one task, without a subscription."""
+
+        def rows(options, part):
+            reader = self.client().create_reader(self.topic, start)
+            while reader.has_message_available():
+                yield (reader.read_next().data(),)
+
+        register_source(spark, name, schema, lambda options: [0], rows)
+        return spark.read.format(name).load()
+
+    def send(self, df: DataFrame, body: str) -> int:
+        return write_with(df, lambda: self.client().create_producer(self.topic), lambda producer, rows: [producer.send(r[body]) for r in rows] and None, lambda producer: producer.close())
+
+
+def read_calls(spark: SparkSession, calls: list, open_call: Callable[[Any], Any], schema: str, name: str, most: int | None = None) -> DataFrame:
+    """Streams that a server sends, as those of gRPC and WebSocket: open_call(call) gives an iterator of rows; each call is a task, which takes its rows to the end, or `most` of them."""
+    register_source(spark, name, schema, lambda options: list(calls), lambda options, call: islice(iter(open_call(call)), most))
+    return spark.read.format(name).load()
+
+
+def postgres_copy(df: DataFrame, connect: Client, table: str, batch: int = 10_000) -> int:
+    """COPY into a table. connect(): a psycopg connection; each batch is a transaction."""
+    names = ", ".join(df.columns)
+
+    def send(db, rows):
+        with db.cursor() as cursor, cursor.copy(f"COPY {table} ({names}) FROM STDIN") as copy:
+            for r in rows:
+                copy.write_row(tuple(r.values()))
+        db.commit()
+
+    return write_with(df, connect, send, lambda db: db.close(), batch)
+
+
+def postgres_listen(spark: SparkSession, connect: Client, channel: str, seconds: float, name: str = "postgres_listen") -> DataFrame:
+    """The notifications of a channel that come within so many seconds: channel, payload. connect(): a psycopg connection in autocommit."""
+
+    def rows(options, part):
+        db = connect()
+        db.execute(f"LISTEN {channel}")
+        for n in db.notifies(timeout=seconds):
+            yield n.channel, n.payload
+
+    register_source(spark, name, "channel string, payload string", lambda options: [0], rows)
+    return spark.read.format(name).load()
+
+
 def publish(df: DataFrame, connect: Client, topic: str, value: str, call: str = "publish") -> int:
     """Rows to a topic of a client with publish(topic, payload), as those of MQTT, NATS and Pub/Sub have (or another method's name in `call`)."""
     return write_with(df, connect, lambda client, rows: [getattr(client, call)(topic, r[value]) for r in rows] and None)
@@ -364,3 +497,11 @@ def prometheus_text(metrics: dict[str, Any], prefix: str = "flow") -> str:
 def statsd_lines(metrics: dict[str, Any], prefix: str = "flow") -> list[str]:
     """The same as counters of the StatsD line format, with the stage as a tag."""
     return [f"{prefix}.{name}:{getattr(m, name)}|c|#stage:{stage}" for stage, m in sorted(metrics.items()) for name in ("processed", "errors")]
+
+
+def export_otel(metrics: dict[str, Any], meter: Any, prefix: str = "flow") -> None:
+    """The same as counters of an OpenTelemetry meter, with the stage as an attribute."""
+    for name in ("processed", "errors"):
+        counter = meter.create_counter(f"{prefix}.{name}")
+        for stage, m in sorted(metrics.items()):
+            counter.add(getattr(m, name), {"stage": stage})
