@@ -575,6 +575,38 @@ def test_quality_rules(spark, docs, none):
     assert len(quality_rules.fit_line_field(docs, labels).decode([(1,) + (0,) * 12])) == 1
 
 
+def test_verdicts_by_hand(spark, docs):
+    """content_share and kept from the best of all labellings."""
+    rng = np.random.default_rng(9)
+    field = quality_rules.LineField()
+    field.emit, field.move, field.start = rng.normal(size=field.emit.shape), rng.normal(size=(2, 2)), rng.normal(size=2)
+    got = by_id(quality_rules.apply_quality_rules(docs, field), "base_failed", "kept", "content_share")
+    seen = 0
+    for i, text in enumerate(TEXTS):
+        feats, sizes, _ = quality_rules.lines_of((text or "").encode())
+        if 0 < len(feats) <= 8:
+            e = np.array(feats, float) @ field.emit
+            value = lambda p: field.start[p[0]] + sum(e[t, y] for t, y in enumerate(p)) + sum(field.move[a, b] for a, b in pairwise(p))  # noqa: B023, E731
+            best = max(product((0, 1), repeat=len(feats)), key=value)
+            share = sum(n for n, y in zip(sizes, best) if y) / sum(sizes)
+            assert got[i][1:] == (not got[i][0] and share >= 0.5, pytest.approx(share))
+            seen += len(feats) > 1
+    assert seen > 2
+
+
+def test_joins_of_null_and_repeated_ids(spark):
+    passage, other = (" ".join(f"{c}{k}" for k in range(40)) for c in "wv")
+    rows = [(None, passage), (5, passage), (5, f"x {passage}"), (3, other), (3, other), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    cut = Counter((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(df).collect())
+    assert cut == Counter([(None, 40, 0), (5, 40, 40), (5, 41, 40), (3, 40, 0), (3, 40, 40), (None, 0, 0)])
+    linked = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard.jaccard_components(df, 3, 90).collect())
+    assert linked == Counter([(None, 38, None), (5, 38, 5), (5, 39, 5), (3, 38, 3), (3, 38, 3), (None, 0, None)])
+    for refused in (substring_dedup.remove_repeats, ngram_jaccard.jaccard_components):
+        with pytest.raises(TypeError):
+            refused(df.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 def test_viterbi_finds_the_best_path():
     rng = np.random.default_rng(0)
     field = quality_rules.LineField()
