@@ -237,7 +237,9 @@ def test_state_between_runs(spark, tmp_path):
     assert run(["a", "b", "a"]) == [("a", 1), ("a", 2), ("b", 1)]
     assert run(["c", "a"]) == [("a", 3), ("c", 1)]
     assert run(["b"]) == [("b", 2)]  # kept through a run that did not meet it
-    whole = op.StateTable(f"{tmp_path}/whole")
+    import json
+
+    whole = op.StateTable(f"{tmp_path}/whole", lambda cell: json.dumps(cell).encode(), json.loads)
     total = lambda values: out(OrderedFlow(op.map_with(ints(spark, values), key, lambda ref, r: (r.pos, ref.update_and_get(lambda n: n + r.value)), "pos long, n long", store=whole), ("pos",)), "n")
     assert total([1, 2]) == [1, 3] and total([10]) == [13]
 
@@ -349,6 +351,23 @@ def test_hooks_and_latencies(spark):
     assert collect_rows(f) == [(0, 3), (1, 1)]
 
 
+def test_adapters(spark):
+    from tideflow.functions import adapters as ad
+
+    f, seen = ints(spark, [0, 1, 2]), []
+    assert sorted(r.v for r in op.map_python(f, ad.lift_pure(lambda r: r.value * 2), "v long").collect()) == [0, 2, 4]
+    got = op.map_python(f, ad.lift_fallible(lambda r: 2 // r.value), "v long, err string").collect()
+    assert sorted((r.v, r.err is None) for r in got if r.v is not None) == [(1, True), (2, True)] and sum(r.err is not None for r in got) == 1
+    stage = op.then(ad.filter_func(F.col("value") > 0), ad.reject_func(F.col("value") > 1), ad.tap_func(seen.append), ad.finally_func(lambda f: f, lambda: seen.append("done")))
+    assert out(stage(f)) == [1] and len(seen) == 2
+    with pytest.raises(AttributeError):
+        ad.tap_error_func(lambda f: f.nothing, seen.append)(f)
+    assert isinstance(seen[-1], AttributeError)
+    edges = spark.createDataFrame([(1, 2)], "parent long, child long")
+    assert ad.expand_map_func(edges, max_depth=3)(spark.createDataFrame([(1,)], "node long")).count() == 2
+    assert [r.v for r in op.flat_map_with(f, op.Key("n"), ad.each(lambda r: iter([(r.value,)])), "v long").collect()] == [0, 1, 2]
+
+
 def test_flow_checks(spark):
     with pytest.raises(ValueError, match="reserved"):
         flow(spark.range(1).withColumn("_idx", F.lit(1)), "id")

@@ -84,9 +84,11 @@ def flat_map_with_key(flow: OrderedFlow, by: str, key: Key, fn: Callable[[Ref, A
 
 @dataclass(frozen=True)
 class StateTable:
-    """Where cells live between runs: a folder with a table of pickled values for each run, of which the newest counts."""
+    """Where cells live between runs: a folder with a table of values for each run, of which the newest counts. dumps and loads are the codec of a cell, (value, time of the last write), to and from bytes."""
 
     path: str
+    dumps: Callable[[Any], bytes] = pickle.dumps
+    loads: Callable[[bytes], Any] = pickle.loads
 
     def load(self, spark: SparkSession) -> DataFrame | None:
         try:
@@ -113,10 +115,10 @@ def _with_store(flow: OrderedFlow, key: Key, fn: Callable, schema: str, time: st
 
     def step(ref: Ref, row):
         if row[turn] == 0:
-            ref.value, ref.written = pickle.loads(row[cell])
+            ref.value, ref.written = store.loads(row[cell])
         elif row[turn] == 2:
             if ref.written is not None:
-                yield (*[row[names.index(k)] for k in keys], pickle.dumps((ref.value, ref.written)), *[None] * len(fields))
+                yield (*[row[names.index(k)] for k in keys], store.dumps((ref.value, ref.written)), *[None] * len(fields))
         else:
             plain = inner(*[v for k, v in enumerate(row) if k not in (turn, cell)])
             ref.now = getattr(plain, time) if time else 0
