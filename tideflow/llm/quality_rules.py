@@ -186,7 +186,7 @@ def judge(text: str | None, field: LineField, content_share: float = CONTENT_SHA
 def fit_line_field(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, lines: int = TRAIN_LINES) -> LineField:
     """Fit on at most about `rows` documents of those in labels(doc_id, quality), quality 0 or 1, of at most `lines` lines. Only the lines' features come to the driver, one number for each."""
     some = bounded_sample(labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id", rows)
-    drawn = docs.select("doc_id", "text").join(some, "doc_id").select("text", "quality")
+    drawn = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "quality")  # broadcast: about `rows` ids at most
 
     def make():
         def fn(texts, grades):
