@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideflow.llm.blocks import Words, ask, bits_for, make_blocks, open_block, parts_for, squeeze, tell, totals, unsqueeze, windows
-from tideflow.llm.common import map_rows, materialise, struct
+from tideflow.llm.common import discard, map_rows, materialise, struct
 
 WINDOW, ANCHOR, PERIOD = 20, 8, 13
 #: A perfect difference set modulo 13; every residue is a difference of two of these.
@@ -110,6 +110,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", tex
         return [(block, lane, packed, squeeze(pickle.dumps(done)))]
 
     sifted = materialise(tell(blocks, ask(blocks, anchors, shared, [], parts), "block long, lane int, data binary, done binary", sift, ["u1"]), zstd=False)
+    discard(blocks)
 
     def candidates(data):
         ids, texts, local = pickle.loads(unsqueeze(data))
