@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Collection
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -85,11 +86,11 @@ class OrdinalModel:
         make = Featurizer()
         return self.fit_features([(make(t), g) for t, g in rows], steps, rate, decay, min_docs, least_chi2)
 
-    def fit_features(self, rows: list[tuple[set[int] | list[int], int]], steps: int = 1000, rate: float = 0.1, decay: float = 1e-4, min_docs: int = 5, least_chi2: float = 20.0) -> OrdinalModel:
+    def fit_features(self, rows: list[tuple[Collection[int], int]], steps: int = 1000, rate: float = 0.1, decay: float = 1e-4, min_docs: int = 5, least_chi2: float = 20.0) -> OrdinalModel:
         """rows: (features, grade). Features that are independent of the grade (chi-squared below least_chi2, or in fewer than min_docs texts) get no weight; the others by full-batch Adam on the cumulative-link likelihood. The thresholds are a start and positive steps. A row counts by one over the root of its grade's share, and weights are held at zero or below."""
         if not rows:
             return self
-        sets = [np.fromiter(s, np.int64, len(s)) for s, _ in rows]
+        sets = [np.fromiter(s, np.int32, len(s)) for s, _ in rows]
         y, n, k = np.array([g for _, g in rows]), len(rows), len(self.cuts)
         by_grade = np.array([np.bincount(np.concatenate([*(s for s, g in zip(sets, y) if g == grade), np.zeros(0, np.int64)]), minlength=1 << BITS) for grade in range(k + 1)])
         seen, share = by_grade.sum(0), np.bincount(y, minlength=k + 1)[:, None] / n
@@ -147,10 +148,11 @@ def fit_quality_classifier(docs: DataFrame, labels: DataFrame, rows: int = TRAIN
 
     def make():
         feats = Featurizer()
-        return lambda texts, grades: [[sorted(feats(t)) for t in texts], grades]
+        return lambda texts, grades: [[np.array(sorted(feats(t)), "<i4").tobytes() for t in texts], grades]
 
-    got = map_rows(drawn, ["text", "grade"], struct("feats array<int>, grade int"), make).collect()
-    return OrdinalModel().fit_features(sorted(((r.feats, r.grade) for r in got), key=lambda r: (r[1], r[0])))
+    got = map_rows(drawn, ["text", "grade"], struct("feats binary, grade int"), make).toArrow()
+    rows = sorted(zip(got.column("grade").to_pylist(), got.column("feats").to_pylist()))
+    return OrdinalModel().fit_features([(np.frombuffer(f, "<i4"), g) for g, f in rows])
 
 
 def classify_quality(docs: DataFrame, model: OrdinalModel, least_tail: float = LEAST_TAIL, key: str = "doc_id", text: str = "text") -> DataFrame:
