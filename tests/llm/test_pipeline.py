@@ -95,8 +95,8 @@ def test_run_against_brute_force(spark):
             grade = 0 if r.quality <= 0 else 1 if (r.toxic or 0) > 0 else 2
             grades[r.doc_id] = min(grades.get(r.doc_id, 2), grade)
     make = quality_classifier.Featurizer()
-    labelled = [(sorted(make(t)), grades[i]) for i, t in docs if i in grades]
-    model = quality_classifier.OrdinalModel().fit_features(sorted(labelled, key=lambda r: (r[1], r[0])))
+    labelled = [(grades[i], np.array(sorted(make(t)), "<i4").tobytes()) for i, t in docs if i in grades]
+    model = quality_classifier.OrdinalModel().fit_features([(np.frombuffer(f, "<i4"), g) for g, f in sorted(labelled)])
     docs = [(i, t) for i, t in docs if model.tails(float(model.weights[list(make(t))].sum()))[-1] >= quality_classifier.LEAST_TAIL]
     docs = [d for k, (d, g) in enumerate(zip(docs, groups([t for _, t in docs]))) if g == k]
     docs = [(i, cut) for (i, _), cut in zip(docs, without_repeats([t for _, t in docs])) if cut is not None]
