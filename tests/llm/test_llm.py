@@ -521,6 +521,22 @@ def test_jaccard_of_many_near_copies(spark, monkeypatch, count, group, slices):
     assert 1 < len(set(roots.values())) < count
 
 
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80), (3, 100)])
+def test_copies_in_different_blocks(spark, n, percent):
+    """Copies of every length, each copy in a block of its own; sets too small to be linked to any other are equal all the same. With 100 percent every set is so."""
+    texts = [" ".join(f"w{size}x{k}" for k in range(size)) for size in range(1, 15)]
+    rows = [(100 * copy + size, t.upper() if copy == 1 else t) for copy in range(3) for size, t in enumerate(texts)]
+    rows += [(300 + size, f"{t} more") for size, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(4, F.expr("doc_id div 100"))
+    assert df.select(F.spark_partition_id()).distinct().count() > 2
+    sets = {}
+    for i, t in rows:
+        w = lower_words(t)
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} or {tuple(w)}
+    roots = components(sets, lambda a, b: 100 * len(a & b) >= percent * len(a | b))
+    assert by_id(ngram_jaccard.jaccard_components(df, n, percent), "component_id") == {i: (r,) for i, r in roots.items()}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (20, 21), (21, 20), (7, 7)], "a long, b long")
     assert {r.node: r.component for r in connected_components(edges).collect()} == {3: 3, 4: 3, 5: 3, 9: 3, 20: 20, 21: 20}

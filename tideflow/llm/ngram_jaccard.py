@@ -6,7 +6,7 @@ n - ceil(t n) + 1 of either, under any global order of tokens. Here there are OR
 like ones: a pair is a candidate only if it shares a prefix token under every one of them, and only candidates are
 verified, exactly, on whole sets.
 
-Equal sets are one class, so copies never form pairs. Classes that share a prefix token under the first order are
+Equal sets are one class, whatever their size, so copies never form pairs. Classes that share a prefix token under the first order are
 gathered: connected components of a star for each token, linear in the number of prefix tokens. Groups of more than
 GROUP * SLICES classes, which sharing by chance may have chained together, are gathered anew by the next order, within
 what the last one left, and so on. Sets are verified inside these groups, and only links that span their components come out, never
@@ -216,7 +216,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, key: str
                 if all(map(len, first)):  # else no other set can share a prefix token under every order
                     heads, body = [(s[p] & cut).view(np.int64).tolist() for p in first], s.tobytes()
                     sent.add(d)
-            linked = len(s) and i is not None and (d in sent or copies[d] > 1)
+            # sets too small for a link to any other may still have copies in other blocks: then none of their tokens stands in one block's set only
+            linked = len(s) and i is not None and (d in sent or copies[d] > 1 or (not can_link(len(s), percent) and replies[0][np.searchsorted(keys, s & cut)].all()))
             rows.append((i, len(s), d if linked else None, *heads, body))
         return rows
 
