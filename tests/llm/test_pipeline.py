@@ -7,6 +7,7 @@ from pathlib import Path
 import numpy as np
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tideflow.llm import language_id, quality_classifier
@@ -45,6 +46,14 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert set(cut) == {0, 2, 3, 4} and cut[2] == ("other", 5) and cut[0][0] == base
 
 
+def test_near_duplicates_of_short_texts_in_different_blocks(spark):
+    texts = ["tiny", "two words", "Four words are these", "seven words are not enough for links", "a text with as many as nine words here"]
+    rows = [(10 * copy + k, t) for copy in range(3) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(3, "doc_id")
+    assert docs.select(F.spark_partition_id()).distinct().count() > 1
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == [0, 1, 2, 3, 4]
+
+
 def groups(texts):
     """text number -> least number reachable by links of similarity 0.8 or more of 5-word shingles."""
     sets = []
