@@ -179,6 +179,19 @@ def test_nearest_with_a_beam_of_few_rows(spark):
     assert looked.value <= 0.45 * n * len(asked)  # a search of the graph, not of the table
 
 
+def test_hops_pass_on_beams_only(spark, monkeypatch):
+    """A hop writes the beams and what it was the first to look at, not all that was looked at so far; the result is all of it, once."""
+    n, beam, x = 1200, 20, np.random.default_rng(6).normal(size=(1200, 8)).astype(np.float32)
+    rows = nn_descent.materialise(spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "id long, full binary"))
+    graph = nn_descent.materialise(nn_descent.neighbour_graph(rows, n))
+    hops, write = [], nn_descent.materialise
+    monkeypatch.setattr(nn_descent, "materialise", lambda df: hops.append(out.count()) or out if "next" in (out := write(df)).columns else out)
+    asked, looked = range(0, n, 100), spark.sparkContext.accumulator(0)
+    found = [(r.q, r.node) for r in nn_descent.greedy_search(rows, graph, spark.createDataFrame([(q,) for q in asked], "q long"), beam=beam, width=4, looked=looked).collect()]
+    assert len(found) == len(set(found)) == looked.value and len(hops) > 4
+    assert sum(hops) <= looked.value + len(hops) * beam * len(asked)
+
+
 @pytest.mark.parametrize(("scale", "kind"), [(1e6, "float"), (1e-9, "float"), (1e30, "float"), (1e60, "double"), (1e-60, "double")])
 def test_nearest_at_any_scale(spark, scale, kind):
     """Also: the rounds run at a size that one leaf could hold; of rows with one id the least vector counts."""

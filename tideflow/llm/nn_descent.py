@@ -220,7 +220,7 @@ def greedy_search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, beam
     parts = max(12, -(-queries.count() // TASK_QUERIES))
     back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "d").withColumn("n", F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))).where(F.col("n") <= 2 * k).drop("n", "d")
     ways = materialise(graph.select("u", "v").unionByName(back).groupBy("u").agg(F.collect_set("v").alias("to")))
-    state_schema = struct("q long, node long, d double, open boolean, next boolean")
+    state_schema = struct("q long, node long, d double, open boolean, next boolean, held boolean, new boolean")
     asked = materialise(queries.join(vectors, queries.q == vectors.id).select("q", F.col("full").alias("query")))
 
     def visit(part, q, node, d, open_, full, query):
@@ -237,11 +237,12 @@ def greedy_search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, beam
             d[at] = np.sqrt(((x[a : a + 4096].astype(np.float64) - asked_by[np.searchsorted(names, q[at])]) ** 2).sum(1))
         if looked is not None:
             looked.add(len(wanted))
-        # every node that was looked at stays, so that none is looked at twice; the nearest `beam` of a query are its beam
+        # the nearest `beam` of a query are its beam; what falls out of it never comes back, so a hop passes on the beam, and besides it tells only the nodes it was the first to look at
         order = np.lexsort((node, d, q))
-        q, node, d, open_ = q[order], node[order], d[order], open_[order]
+        q, node, d, open_, fresh = q[order], node[order], d[order], open_[order], fresh[order]
         first = np.flatnonzero(np.diff(q, prepend=q[:1] - 1))
-        open_ &= np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < beam
+        held = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < beam
+        open_ &= held
         chosen = np.zeros(len(q), bool)
         at = np.flatnonzero(open_)
         if len(at):
@@ -249,7 +250,8 @@ def greedy_search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, beam
             rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
             chosen[at[rank < width]] = True
         open_[chosen] = False
-        return q, node, d, open_, chosen
+        told = held | fresh
+        return q[told], node[told], d[told], open_[told], chosen[told], held[told], fresh[told]
 
     def evaluate(state: DataFrame, fresh: DataFrame) -> DataFrame:
         """Merge rows (q, node) into the beams."""
@@ -259,18 +261,17 @@ def greedy_search(vectors: DataFrame, graph: DataFrame, queries: DataFrame, beam
         return materialise(_grouped(rows.unionByName(marks).select(_part("q", parts), "q", "node", "d", "open", "full", "query"), ["part"], visit, state_schema))
 
     empty = asked.where("false").select("q", F.col("q").alias("node"), F.lit(0.0).alias("d"), F.lit(True).alias("open"))
-    state = evaluate(empty, asked.select("q", F.col("q").alias("node")))
-    for hop in range(most_hops + 1):
-        if hop == most_hops:
+    tables = [evaluate(empty, asked.select("q", F.col("q").alias("node")))]
+    seen = tables[0].where("new").select("q", "node", "d")  # every node that was looked at, once, so that none is looked at twice
+    while not (state := tables[-1]).where("next").isEmpty():
+        if len(tables) > most_hops:
             raise RuntimeError(f"the search has not ended after {most_hops} hops")
         step = state.where("next").select("q", F.col("node").alias("u")).join(ways, "u").select("q", F.explode("to").alias("node")).distinct()
-        fresh = step.join(state.select("q", "node"), ["q", "node"], "left_anti")
-        before, state = state, evaluate(state, fresh)
-        discard(before)
-        if state.where("next").isEmpty():
-            break
+        fresh = step.join(seen.select("q", "node"), ["q", "node"], "left_anti")
+        tables.append(evaluate(state.where("held"), fresh))
+        seen = seen.unionByName(tables[-1].where("new").select("q", "node", "d"))
     discard(ways, asked)
-    return state.select("q", "node", "d")
+    return seen
 
 
 def number_kind(table: DataFrame, vector: str) -> str:
