@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import pairwise, product
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideflow.llm import bpe_automaton, byte_tokens, deleted_interpolation, language_id, ngram_jaccard, nn_descent, packing, quality_classifier, quality_rules, substring_dedup, token_counts
+from tideflow.llm.blocks import Words
 from tideflow.llm.components import connected_components
 from tideflow.llm.queries import tokenizer_path
 
@@ -550,6 +552,18 @@ def test_copies_in_different_blocks(spark, n, percent):
     assert by_id(ngram_jaccard.jaccard_components(df, n, percent), "component_id") == {i: (r,) for i, r in roots.items()}
 
 
+def test_words_take_memory_for_their_sums_only():
+    texts = [b"some words of a text and more " * 5000] * 20
+    tracemalloc.start()
+    try:
+        found = Words(texts, lower=True)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found.hash) == 20 * 5000 * 7 and len(set(found.hash.tolist())) == 7
+    assert peak < 28 * sum(map(len, texts))
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (20, 21), (21, 20), (7, 7)], "a long, b long")
     assert {r.node: r.component for r in connected_components(edges).collect()} == {3: 3, 4: 3, 5: 3, 9: 3, 20: 20, 21: 20}

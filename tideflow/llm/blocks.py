@@ -89,12 +89,15 @@ class Words:
         raw = np.frombuffer(data.lower() if lower else data, np.uint8)
         apart = _SEPARATOR[raw]
         inside = ~apart
-        edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0)) if len(raw) else np.zeros(0, np.int64)
+        edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))) if len(raw) else np.zeros(0, np.int64)
         begin, end = edge[0::2], edge[1::2]
         # a word's hash is the polynomial of its bytes; prefix sums give it, with powers that repeat every chunk
-        at = np.arange(len(raw)) % _CHUNK
         sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[raw] * _UP[at], out=sums[1:], dtype=np.uint64)
+        for a in range(0, len(raw), _CHUNK):  # chunk by chunk, so that only the sums are of the texts' whole length
+            part = raw[a : a + _CHUNK]
+            upto = sums[a + 1 : a + 1 + len(part)]
+            np.cumsum(_BYTE_VALUE[part] * _UP[: len(part)], out=upto, dtype=np.uint64)
+            upto += sums[a]
         self.hash = mix((sums[end] - sums[begin]) * _DOWN[begin % _CHUNK] + (end - begin).astype(np.uint64))
         for k in np.flatnonzero(begin // _CHUNK != np.maximum(end - 1, 0) // _CHUNK):  # the few words across a chunk's edge
             w = raw[begin[k] : end[k]]
