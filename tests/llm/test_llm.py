@@ -1,7 +1,9 @@
 """The training-data operators against brute force, on small fixtures with the awkward cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing column names."""
 
+import gc
 import hashlib
 import math
+import pickle
 import random
 import tracemalloc
 import zlib
@@ -241,6 +243,31 @@ def test_language_by_hand(spark):
     assert model.word_scores("bb") == pytest.approx(tuple(logs))
 
 
+def test_fits_hold_no_object_for_each_name_on_the_driver():
+    """A language model takes little more than its names and logs, which are those of counting in plain Python; the fit of grades takes no matrix over all possible features."""
+    rng = random.Random(5)
+    rows = [(x, " ".join("".join(rng.choices("abcdefghé", k=rng.randint(3, 8))) for _ in range(2500)) * 2) for x in "wxyz"]
+    language_id.LanguageModel.fit([("x", "a")])  # what is imported at the first call does not count
+    tracemalloc.start()
+    try:
+        model = language_id.LanguageModel.fit(rows)
+        gc.collect()
+        names = len(model.words) + sum(map(len, model.grams))
+        assert names > 15_000 and tracemalloc.get_traced_memory()[0] < 100 * names
+        feats = [(np.unique(np.array(rng.choices(range(1 << 20), k=50), "<i4")), i % 3) for i in range(300)]
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        quality_classifier.OrdinalModel().fit_features(feats, steps=2)
+        assert tracemalloc.get_traced_memory()[1] - before < 40_000_000
+    finally:
+        tracemalloc.stop()
+    for n, table in enumerate([model.words, *model.grams]):
+        counts = [Counter(g for w in language_id.words_of(t) for w in [f"^{w}$" if n > 1 else w] for g in ([w[j : j + n] for j in range(len(w) - n + 1)] if n else [w])) for _, t in rows]
+        every = sum(counts, Counter())
+        want = {g: tuple(math.log((c[g] + 0.5) / (c.total() + 0.5 * (len(every) + 1))) for c in counts) for g, k in every.items() if k >= 2}
+        assert pickle.loads(pickle.dumps(table)).entries == want
+
+
 def test_a_rare_language_is_not_missed(spark):
     rows = [(i, "the common words", "en") for i in range(3000)] + [(9000 + i, "rara lingua", "la") for i in range(8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")

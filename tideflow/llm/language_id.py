@@ -7,7 +7,8 @@ with the largest sum over its words.
 A word is a run of letters and the marks on them; numerals, be they letters in look, are none.
 
 Training counts words on the executors, over a sample that holds about `least` rows of each language besides the share
-that all have in `rows`; only words by language come to the driver.
+that all have in `rows`; only words by language come to the driver, where columns and matrices hold them and the model:
+the driver has no object for each word.
 
 Defined results: null text, and text without a letter, give `und` with score 0. Without any training row every text
 gives `und`. Ties go to the language first in alphabetical order. Repeated rows are scored each by itself; a null
@@ -20,9 +21,14 @@ import math
 import re
 import sys
 import unicodedata
-from collections import Counter, defaultdict
+from array import array
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,48 +59,98 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def _counted(langs: list[str], texts: list[str | None]) -> list[list]:
+    """Languages, words and how often each word stands in each language; null, 0 times, for the language itself."""
+    counts = Counter((x, w) for x, t in zip(langs, texts) for w in words_of(t))
+    empty = [(x, None, 0) for x in set(langs)]  # a language is known even if its texts have no word
+    return list(map(list, zip(*empty, *((x, w, n) for (x, w), n in counts.items())))) if langs else [[]] * 3
+
+
+class LogTable:
+    """The logs of names in each language. Names are kept in order as one text, logs as a matrix; `entries`, the dict of them, is made where it is first asked for and is not pickled."""
+
+    def __init__(self, names: list[str], logs: np.ndarray) -> None:
+        self.names, self.logs = "\n".join(names).encode(), logs
+
+    @cached_property
+    def entries(self) -> dict[str, tuple[float, ...]]:
+        return dict(zip(self.names.decode().split("\n"), zip(*self.logs.T.tolist()))) if len(self.logs) else {}
+
+    def __len__(self) -> int:
+        return len(self.logs)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, LogTable) and self.names == other.names and np.array_equal(self.logs, other.logs)
+
+    __hash__ = None
+
+    def __getstate__(self) -> dict:
+        return {"names": self.names, "logs": self.logs}
+
+
+def _table(names: list[str], ids: np.ndarray, sizes: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], min_count: int) -> LogTable:
+    """Word number w holds sizes[w] of the names, the next ones of ids. found: for each language the words and how often each stands there."""
+    starts, hits = np.cumsum(sizes) - sizes, np.zeros((len(found), len(names)), np.int64)
+    for row, (words, n) in zip(hits, found):
+        held = sizes[words]
+        at = np.repeat(starts[words] - (np.cumsum(held) - held), held) + np.arange(held.sum())
+        row += np.bincount(ids[at], np.repeat(n, held), len(names)).astype(np.int64)
+    totals, kinds = hits.sum(1).tolist(), len(names) + 1
+    kept = np.array(sorted(np.flatnonzero(hits.sum(0) >= min_count).tolist(), key=names.__getitem__), np.int64)
+    logs = np.empty((len(kept), len(found)))
+    for i, total in enumerate(totals):
+        values, place = np.unique(hits[i, kept], return_inverse=True)
+        logs[:, i] = np.array([math.log((h + 0.5) / (total + 0.5 * kinds)) for h in values.tolist()])[place]
+    return LogTable([names[k] for k in kept.tolist()], logs)
+
+
+def _grams(words: Iterable[str], n: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct n-grams, and as in _table their numbers and how many each word has."""
+    names: dict[str, int] = {}
+    ids, sizes = array("i"), array("q")
+    for w in words:
+        w = f"^{w}$" if n > 1 else w
+        ids.extend([names.setdefault(w[j : j + n], len(names)) for j in range(len(w) - n + 1)])
+        sizes.append(max(0, len(w) - n + 1))
+    return list(names), np.asarray(ids), np.asarray(sizes)
+
+
 @dataclass
 class LanguageModel:
     langs: list[str]
-    words: dict[str, tuple[float, ...]] = field(repr=False)
-    grams: list[dict[str, tuple[float, ...]]] = field(repr=False)
+    words: LogTable = field(repr=False)
+    grams: list[LogTable] = field(repr=False)
     floor: tuple[float, ...] = ()
 
     @classmethod
     def fit(cls, rows: list[tuple[str, str | None]], min_count: int = 2) -> LanguageModel:
         """rows: (language, text)."""
-        words: dict[str, Counter] = defaultdict(Counter)
-        for lang, text in rows:
-            words[lang].update(words_of(text))
-        return cls.of_counts(words, min_count)
+        langs, words, n = _counted([x for x, _ in rows], [t for _, t in rows])
+        return cls.of_counts(pa.table({"lang": pa.array(langs, "string"), "word": pa.array(words, "string"), "n": pa.array(n, "int64")}), min_count)
 
     @classmethod
-    def of_counts(cls, words: dict[str, Counter], min_count: int = 2) -> LanguageModel:
-        """words: how often each word stands in each language."""
-        langs = sorted(words)
-        total = Counter()
-        for c in words.values():
-            total.update(c)
-        sizes = [sum(words[x].values()) for x in langs]
-        smooth = lambda hits, sizes, kinds: tuple(math.log((h + 0.5) / (n + 0.5 * kinds)) for h, n in zip(hits, sizes))
-        known = {w: smooth([words[x][w] for x in langs], sizes, len(total) + 1) for w, n in total.items() if n >= min_count}
-        grams = []
-        for n in range(1, LONGEST + 1):
-            seen: dict[str, list[int]] = {}
-            for i, x in enumerate(langs):
-                for w, k in words[x].items():
-                    w = f"^{w}$" if n > 1 else w
-                    for j in range(len(w) - n + 1):
-                        seen.setdefault(w[j : j + n], [0] * len(langs))[i] += k
-            sums = [sum(v[i] for v in seen.values()) for i in range(len(langs))]
-            grams.append({g: smooth(v, sums, len(seen) + 1) for g, v in seen.items() if sum(v) >= min_count})
-        return cls(langs, known, grams, tuple(0.0 for _ in langs))
+    def of_counts(cls, counted: pa.Table, min_count: int = 2) -> LanguageModel:
+        """counted: lang, word and n, how often the word stands in the language, once for each pair; the word may be null to name a language."""
+        langs = sorted(counted["lang"].unique().to_pylist())
+        counted = counted.filter(counted["word"].is_valid())
+        lang, word = (counted[c].combine_chunks().dictionary_encode() for c in ("lang", "word"))
+        place = {x: i for i, x in enumerate(langs)}
+        which = np.array([place[x] for x in lang.dictionary.to_pylist()], np.int64)[lang.indices.to_numpy()]
+        order, n = np.argsort(which, kind="stable"), counted["n"].to_numpy()
+        found = [(word.indices.to_numpy()[at], n[at]) for at in np.split(order, np.searchsorted(which[order], np.arange(1, len(langs))))][: len(langs)]
+
+        def words() -> Iterator[str]:
+            for k in range(0, len(word.dictionary), 10_000):
+                yield from word.dictionary.slice(k, 10_000).to_pylist()
+
+        known = _table(list(words()), np.arange(len(word.dictionary)), np.ones(len(word.dictionary), np.int64), found, min_count)
+        return cls(langs, known, [_table(*_grams(words(), n), found, min_count) for n in range(1, LONGEST + 1)], tuple(0.0 for _ in langs))
 
     def word_scores(self, word: str) -> tuple[float, ...]:
-        if (hit := self.words.get(word)) is not None:
+        if (hit := self.words.entries.get(word)) is not None:
             return hit
         for n in range(LONGEST, 0, -1):
-            w, table = (f"^{word}$" if n > 1 else word), self.grams[n - 1]
+            w, table = (f"^{word}$" if n > 1 else word), self.grams[n - 1].entries
             hits = [g for j in range(len(w) - n + 1) if (g := table.get(w[j : j + n])) is not None]
             if hits:
                 return tuple(sum(x) / len(hits) for x in zip(*hits))
@@ -122,19 +178,8 @@ def fit_language_model(docs: DataFrame, text: str = "text", lang: str = "lang",
     """Fit on a hash-chosen sample of about `rows` rows with a language, and about `least` of each language."""
     sample = bounded_sample(docs.where(F.col(lang).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")), "key", rows, "lang", least)
 
-    def make():
-        def fn(langs, texts):
-            counts = Counter((x, w) for x, t in zip(langs, texts) for w in words_of(t))
-            empty = [(x, None, 0) for x in set(langs)]  # a language is known even if its texts have no word
-            return list(map(list, zip(*empty, *((x, w, n) for (x, w), n in counts.items())))) if langs else [[]] * 3
-
-        return fn
-
-    counted = map_rows(sample, ["lang", "text"], struct("lang string, word string, n long"), make).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words: dict[str, Counter] = defaultdict(Counter)
-    for x, w, n in counted.collect():
-        words[x].update({w: n} if w is not None else {})
-    return LanguageModel.of_counts({x: Counter(dict(sorted(c.items()))) for x, c in words.items()})
+    counted = map_rows(sample, ["lang", "text"], struct("lang string, word string, n long"), lambda: _counted).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return LanguageModel.of_counts(counted.toArrow())
 
 
 def _predictions(model_b):

@@ -21,6 +21,7 @@ from collections import Counter
 from collections.abc import Collection
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -88,20 +89,29 @@ class OrdinalModel:
 
     def fit_features(self, rows: list[tuple[Collection[int], int]], steps: int = 1000, rate: float = 0.1, decay: float = 1e-4, min_docs: int = 5, least_chi2: float = 20.0) -> OrdinalModel:
         """rows: (features, grade). Features that are independent of the grade (chi-squared below least_chi2, or in fewer than min_docs texts) get no weight; the others by full-batch Adam on the cumulative-link likelihood. The thresholds are a start and positive steps. A row counts by one over the root of its grade's share, and weights are held at zero or below."""
-        if not rows:
+        sets = [s if isinstance(s, np.ndarray) else np.fromiter(s, np.int32, len(s)) for s, _ in rows]
+        return self._fit(np.concatenate([*sets, np.zeros(0, np.int32)]), np.array([len(s) for s in sets], np.int64), np.array([g for _, g in rows], np.int64), steps, rate, decay, min_docs, least_chi2)
+
+    def _fit(self, feats: np.ndarray, sizes: np.ndarray, y: np.ndarray, steps: int = 1000, rate: float = 0.1, decay: float = 1e-4, min_docs: int = 5, least_chi2: float = 20.0) -> OrdinalModel:
+        """The features of all rows one after another, how many each row has, and the rows' grades."""
+        if not len(y):
             return self
-        sets = [np.fromiter(s, np.int32, len(s)) for s, _ in rows]
-        y, n, k = np.array([g for _, g in rows]), len(rows), len(self.cuts)
-        by_grade = np.array([np.bincount(np.concatenate([*(s for s, g in zip(sets, y) if g == grade), np.zeros(0, np.int64)]), minlength=1 << BITS) for grade in range(k + 1)])
+        n, k = len(y), len(self.cuts)
+        there = np.zeros(1 << BITS, bool)
+        there[feats] = True
+        some = np.flatnonzero(there)
+        place = np.full(1 << BITS, -1, np.int32)
+        place[some] = np.arange(len(some))
+        by_grade = np.array([np.bincount(place[feats[np.repeat(y == grade, sizes)]], minlength=len(some)) for grade in range(k + 1)])
         seen, share = by_grade.sum(0), np.bincount(y, minlength=k + 1)[:, None] / n
         expected = share * seen
         chi2 = ((by_grade - expected) ** 2 / np.maximum(expected, 1e-9)).sum(0) / np.maximum(1 - seen / n, 1 / n)
-        kept = np.flatnonzero((seen >= min(min_docs, n)) & (chi2 >= least_chi2))
-        place = np.full(1 << BITS, -1)
+        kept = some[(seen >= min(min_docs, n)) & (chi2 >= least_chi2)]
+        place[:] = -1
         place[kept] = np.arange(len(kept))
-        cols = [c[c >= 0] for c in (place[s] for s in sets)]
-        doc = np.repeat(np.arange(n), [len(c) for c in cols])
-        col = np.concatenate([*cols, np.zeros(0, np.int64)])
+        col = place[feats]
+        doc = np.repeat(np.arange(n, dtype=np.int32), sizes)[col >= 0].astype(np.int64)
+        col = col[col >= 0].astype(np.int64)
         above = np.array([max(((y > c).sum() + 0.5) / (n + 1), 1e-3) for c in range(k)])
         first = -np.log(above / (1 - above))
         steps_up = np.maximum(np.diff(first), 1e-2)
@@ -151,8 +161,8 @@ def fit_quality_classifier(docs: DataFrame, labels: DataFrame, rows: int = TRAIN
         return lambda texts, grades: [[np.array(sorted(feats(t)), "<i4").tobytes() for t in texts], grades]
 
     got = map_rows(drawn, ["text", "grade"], struct("feats binary, grade int"), make).toArrow()
-    rows = sorted(zip(got.column("grade").to_pylist(), got.column("feats").to_pylist()))
-    return OrdinalModel().fit_features([(np.frombuffer(f, "<i4"), g) for g, f in rows])
+    got = got.sort_by([("grade", "ascending"), ("feats", "ascending")])
+    return OrdinalModel()._fit(np.frombuffer(b"".join(c.as_py() for c in got["feats"]), "<i4"), pc.binary_length(got["feats"]).to_numpy().astype(np.int64) // 4, got["grade"].to_numpy().astype(np.int64))
 
 
 def classify_quality(docs: DataFrame, model: OrdinalModel, least_tail: float = LEAST_TAIL, key: str = "doc_id", text: str = "text") -> DataFrame:
