@@ -66,6 +66,17 @@ def test_dedupe(spark):
     assert set(kept) <= set(range(50, 100)) and len(kept) > 40
 
 
+def test_bloom_of_more_keys_than_it_was_made_for(spark):
+    """Every bit of so full a filter is set, so it lets all through; the exact lookup brings back what is not in the set."""
+    keys = ints(spark, [*range(500), None]).df.select("value")
+    full = op.BloomSet(1, 0.01)
+    rows = ints(spark, [*range(490, 1000), None])
+    assert out(full.reject_seen(rows, full.built(keys, "value"), "value")) == []
+    assert out(full.reject_seen(rows, full.built(keys, "value"), "value", exact=keys)) == list(range(500, 1000))
+    assert op.BloomSet.sized(keys, "value", 0.01).bits == op.BloomSet(501, 0.01).bits
+    assert op.BloomSet.sized(keys.where("false"), "value", 0.01).bits == op.BloomSet(1, 0.01).bits
+
+
 def test_positions(spark):
     f = ints(spark, range(7))
     assert out(op.take_every(f, 3)) == [0, 3, 6]

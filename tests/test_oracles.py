@@ -49,5 +49,14 @@ def test_same_rows_over_many_ranges(spark, db, name, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_bloom_reject_with_many_users(spark, tmp_path):
+    """Three times the 10,000 keys that the filter was once made for."""
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT range AS event_id, make_timestamp(range) AS ts, range AS user_id, CASE WHEN range % 2 = 0 THEN 'error' ELSE 'view' END AS event_type, 60.0::DOUBLE AS value, '' AS props FROM range(60000)) TO '{tmp_path}/events.parquet'")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = sorted(r.user_id for r in QUERIES["bloom_reject"](spark, str(tmp_path)).collect())
+    assert got == sorted(r[0] for r in con.sql(ORACLES["bloom_reject"]).fetchall()) == list(range(1, 60000, 2))
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)

@@ -176,6 +176,11 @@ class BloomSet:
         self.bits = math.ceil(-n * math.log(p) / math.log(2) ** 2)
         self.hashes = max(1, round(self.bits / n * math.log(2)))
 
+    @classmethod
+    def sized(cls, keys: DataFrame, key: str, p: float) -> BloomSet:
+        """A filter for as many keys as the table holds: they are counted, so that the rate stays p at every size."""
+        return cls(max(1, keys.select(key).distinct().count()), p)
+
     def _slots(self, df: DataFrame, key: str) -> DataFrame:
         a, b = F.xxhash64(F.lit(1), key), F.xxhash64(F.lit(2), key)
         k = F.explode(F.sequence(F.lit(0), F.lit(self.hashes - 1)))
@@ -185,10 +190,12 @@ class BloomSet:
         """The set bits, as a table: built by a distributed distinct, bounded by `bits`."""
         return self._slots(keys.select(key), key).select("_slot").distinct()
 
-    def reject_seen(self, flow: OrderedFlow, bits: DataFrame, key: str) -> OrderedFlow:
-        """Rows whose key is surely not in the set."""
+    def reject_seen(self, flow: OrderedFlow, bits: DataFrame, key: str, exact: DataFrame | None = None) -> OrderedFlow:
+        """Rows whose key is surely not in the set. exact: the set's keys (its first column); a key that passes the filter is then looked up there, so that no row goes by a false positive."""
         ids = self._slots(flow.df.select(key).distinct(), key).join(bits.withColumn("_on", F.lit(1)), "_slot", "left")
         maybe = ids.groupBy(key).agg((F.count("_on") == self.hashes).alias("_in")).where("_in").select(F.col(key).alias("_seen"))
+        if exact is not None:
+            maybe = maybe.join(exact.select(F.col(exact.columns[0]).alias("_set")), F.col("_seen").eqNullSafe(F.col("_set")), "left_semi")
         return flow.with_df(flow.df.join(maybe, F.col(key).eqNullSafe(F.col("_seen")), "left_anti"))
 
 

@@ -780,10 +780,11 @@ def single(spark, d):
 
 @query(E + "SELECT DISTINCT user_id FROM e WHERE user_id NOT IN (SELECT user_id FROM e WHERE event_type = 'error' AND value > 50)")
 def bloom_reject(spark, d):
-    """At so small a rate of false positives the filter rejects what an exact set would."""
-    bloom = op.BloomSet(10_000, 1e-9)
-    bits = bloom.built(events(spark, d, "event_type = 'error' AND value > 50").df, "user_id")
-    return bloom.reject_seen(events(spark, d), bits, "user_id").select("user_id").distinct()
+    """The filter is made for the users there are; what passes it is looked up in the set."""
+    seen = events(spark, d, "event_type = 'error' AND value > 50").df.select("user_id")
+    bloom = op.BloomSet.sized(seen, "user_id", 1e-9)
+    bits = bloom.built(seen, "user_id")
+    return bloom.reject_seen(events(spark, d), bits, "user_id", exact=seen).select("user_id").distinct()
 
 
 @query(R + ", g AS (SELECT user_id, k, event_id, CAST(0 AS BIGINT) AS batch, 1 AS n, CAST(floor(value * 100) AS BIGINT) AS s FROM r WHERE k = 1 UNION ALL SELECT r.user_id, r.k, r.event_id, CASE WHEN g.n >= 5 OR g.s >= 20000 THEN g.batch + 1 ELSE g.batch END, CASE WHEN g.n >= 5 OR g.s >= 20000 THEN 1 ELSE g.n + 1 END, CASE WHEN g.n >= 5 OR g.s >= 20000 THEN 0 ELSE g.s END + CAST(floor(r.value * 100) AS BIGINT) FROM g JOIN r ON r.user_id = g.user_id AND r.k = g.k + 1), z AS (SELECT user_id, max(k) AS k FROM g GROUP BY user_id), y AS (SELECT g.user_id, g.batch FROM g JOIN z USING (user_id, k) WHERE g.n < 5 AND g.s < 20000) SELECT event_id, batch FROM g WHERE NOT EXISTS (SELECT 1 FROM y WHERE y.user_id = g.user_id AND y.batch = g.batch)")
