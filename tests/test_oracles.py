@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tideflow.plans import ordered
+from tideflow.plans import fold, ordered
 from tideflow.queries import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
@@ -49,6 +49,22 @@ def test_same_rows_over_many_ranges(spark, db, name, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+#: Queries whose fold has one state for the whole flow.
+FOLDED = ("batch_measure", "map_with_count", "flat_map_with")
+
+
+@pytest.mark.parametrize("name", FOLDED)
+def test_same_rows_when_a_fold_is_handed_on(spark, db, name, monkeypatch):
+    """The plan of large flows: no task sorts more than its range (300 rows here, of 1000)."""
+    legs = []
+    relayed = fold._relayed
+    monkeypatch.setattr(ordered, "ONE_RANGE", -1)
+    monkeypatch.setattr(fold, "RANGE_ROWS", 300)
+    monkeypatch.setattr(fold, "_relayed", lambda *args: (legs.append(args[2]), relayed(*args))[1])
+    test_same_rows(spark, db, name)
+    assert legs == [4]
+
+
 def test_bloom_reject_with_many_users(spark, tmp_path):
     """Three times the 10,000 keys that the filter was once made for."""
     con = duckdb.connect()

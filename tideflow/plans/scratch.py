@@ -13,22 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 _WRITTEN: list[str] = []
 
 
-def scratch_path(df: DataFrame) -> str:
-    """A new path in the shared checkpoint folder; only where that is unset and everything runs in one process (tests), in the machine's temp folder."""
+def scratch_path(df: DataFrame, keep: bool = False) -> str:
+    """A new path in the shared checkpoint folder, which clear_scratch deletes if it is to keep it in mind; only where that is unset and everything runs in one process (tests), in the machine's temp folder."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base.rstrip('/')}/flow-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/flow-{uuid.uuid4().hex}"
+    if keep:
+        _WRITTEN.append(path)
+    return path
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Write and read back: the lineage ends here, and a lost executor loses nothing."""
-    path = scratch_path(df)
-    df.write.parquet(path)
-    _WRITTEN.append(path)
+def written(df: DataFrame, *folders: str) -> DataFrame:
+    """Write and read back: the lineage ends here, and a lost executor loses nothing. folders: columns of which each value gets a folder of its own."""
+    path = scratch_path(df, keep=True)
+    df.write.partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
